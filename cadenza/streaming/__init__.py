@@ -1,0 +1 @@
+"""Intentionally empty: every input is a static table, so there is no streaming operator to offer."""
