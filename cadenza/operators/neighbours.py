@@ -115,8 +115,9 @@ def nearest(
         .where(F.col("_copy") <= keep)
         .drop("_copy")
     )
-    grid = fit_grid(vectors(catalogue), u, rows_per_cell, max_cells, rows_per_block)
-    items = materialize(items.withColumn("cell", grid.cell()), "neighbour-items")
+    items = materialize(items, "neighbour-items")
+    grid = fit_grid(items, u, rows_per_cell, max_cells, rows_per_block)
+    items = items.withColumn("cell", grid.cell())
     grid.measure(items, "item_title" if exclude_same_title else None)
     items = items.withColumn(
         "block", F.pmod(F.xxhash64("item_id"), grid.blocks(F.col("cell"))).cast("int")
