@@ -90,31 +90,35 @@ def fuzzy_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(ratio_of(left.fillna("").tolist(), right.fillna("").tolist()))
 
 
-def occurrences(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
-
+SIGNATURE_WORDS = -(-len(ALPHABET) // _PER_WORD)
 
-def signature_columns(text: str) -> dict[str, Column]:
-    """Length, class counts, and a bit signature of how often each character occurs (up to 3 times)."""
-    c = F.col(text)
-    out = {"size": F.length(c)}
-    for i, chars in enumerate(CLASSES):
-        out[f"class{i}"] = occurrences(c, chars).cast("double")
-    known = F.lit(0)
-    for word, start in enumerate(range(0, len(ALPHABET), _PER_WORD)):
-        bits = F.lit(0).cast("long")
-        for i, char in enumerate(ALPHABET[start : start + _PER_WORD]):
-            seen = F.least(occurrences(c, char), F.lit(_REPEATS))
-            bits = bits + F.element_at(
-                F.array(*[F.lit(((1 << k) - 1) << (_REPEATS * i)) for k in range(_REPEATS + 1)]), seen + 1
-            ).cast("long")
-        out[f"bits{word}"] = bits
-        known = known + F.bit_count(bits)
-    out["rest"] = F.length(c) - known
-    return out
+_SIGNATURE = T.StructType(
+    [T.StructField("length", T.DoubleType())]
+    + [T.StructField(f"class{i}", T.DoubleType()) for i in range(len(CLASSES))]
+    + [T.StructField(f"bits{w}", T.LongType()) for w in range(SIGNATURE_WORDS)]
+    + [T.StructField("rest", T.IntegerType())]
+)
 
 
-SIGNATURE_WORDS = -(-len(ALPHABET) // _PER_WORD)
+@F.pandas_udf(_SIGNATURE)
+def text_signature(texts: pd.Series) -> pd.DataFrame:
+    """Length, class counts, and bits telling how often each character occurs (up to 3 times)."""
+    table = np.array(sorted(ord(c) for c in ALPHABET), dtype=np.uint32)
+    places = {c: int(np.searchsorted(table, ord(c))) for c in ALPHABET}
+    lengths = texts.str.len().to_numpy(dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    counts = np.zeros((len(texts), len(ALPHABET)), dtype=np.int64)
+    np.add.at(counts, (np.repeat(np.arange(len(texts)), lengths), np.searchsorted(table, points)), 1)
+    out: dict[str, np.ndarray] = {"length": lengths.astype(float)}
+    for i, chars in enumerate(CLASSES):
+        out[f"class{i}"] = counts[:, [places[c] for c in chars]].sum(axis=1).astype(float)
+    seen = np.minimum(counts, _REPEATS)
+    for w in range(SIGNATURE_WORDS):
+        part = seen[:, w * _PER_WORD : (w + 1) * _PER_WORD]
+        shifts = _REPEATS * np.arange(part.shape[1])
+        out[f"bits{w}"] = (((1 << part) - 1) << shifts).sum(axis=1)
+    out["rest"] = (counts - seen).sum(axis=1).astype(np.int32)
+    return pd.DataFrame(out)
 
 
 def shared_at_most(a: str, b: str) -> Column:

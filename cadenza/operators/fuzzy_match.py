@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.fuzzy import CLASSES, fuzzy_ratio, shared_at_most, signature_columns
+from cadenza.functions.fuzzy import CLASSES, fuzzy_ratio, shared_at_most, text_signature
 from cadenza.functions.text import cleaned
 from cadenza.operators.grid import Grid, box_gaps, fit_grid
 from cadenza.session import materialize
@@ -82,12 +82,9 @@ def best_matches(
     ``requests`` has request_id and search_text, ``titles`` has track_id and search_text. Texts are
     compared after cleaning; equal scores go to the lowest track id.
     """
-    signed = signature_columns("clean")
 
     def sign(df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {("length" if k == "size" else k): v for k, v in signed.items()}
-        ).withColumn("length", F.col("length").cast("double"))
+        return df.withColumn("sign", text_signature("clean")).select(*df.columns, "sign.*")
 
     def text(df: DataFrame) -> DataFrame:
         return df.withColumn("clean", F.coalesce(cleaned("search_text"), F.lit("")))
