@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.schema import FEATURES_9
+from cadenza.schema import FEATURES_9, FEATURES_11, TOP_TRACKS_PAYLOAD
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,3 +84,107 @@ def misspelt_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(spark, sf_dir).withColumn(
         "title", F.upper(F.concat(F.substring("title", 1, 1), F.col("title").substr(3, 1000)))
     )
+
+
+def raw_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue export with repeated ids and gaps: one row per line item."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("id"),
+        F.col("l_orderkey").alias("row_a"),
+        F.col("l_linenumber").alias("row_b"),
+        F.nullif("l_returnflag", F.lit("N")).alias("name"),
+        F.col("l_linestatus").alias("artists"),
+        F.col("l_quantity").alias("tempo"),
+    )
+
+
+def _record(features: list[str]):
+    return F.struct(
+        F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("id"),
+        F.concat(F.lit("https://open.example/track/"), F.col("id").cast("string"), F.lit("?x=1")).alias(
+            "href"
+        ),
+        *features,
+    )
+
+
+def feature_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature-service answers as JSON text, 40 catalogue tracks each."""
+    per_call = 40
+    return (
+        tracks(spark, sf_dir)
+        .groupBy(F.floor(F.col("id") / per_call).alias("call_no"))
+        .agg(F.to_json(F.struct(F.collect_list(_record(FEATURES_11)).alias("content"))).alias("body"))
+    )
+
+
+def external_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feature-service answer per part, with gaps; large parts are unknown to the service."""
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
+    gap = F.when(F.col("p_type") != "PROMO", F.col("p_size") / 100)
+    known = _record(
+        [
+            (F.col("p_size") / 50).alias("danceability"),
+            (F.col("p_retailprice") / 2000).alias("acousticness"),
+            gap.alias("instrumentalness"),
+            (-F.col("p_size").cast("double")).alias("loudness"),
+        ]
+    )
+    content = F.when(F.col("p_size") <= 40, F.array(known))
+    return part.select(
+        F.col("id").alias("call_no"), F.to_json(F.struct(content.alias("content"))).alias("body")
+    )
+
+
+def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search answers as JSON text, one per request; small parts are unknown to the service."""
+    part = table(spark, sf_dir, "part")
+    known = (
+        part.where(F.col("p_size") > 10)
+        .groupBy("p_name", "p_brand")
+        .agg(F.min("p_partkey").alias("found"))
+    )
+    hit = F.struct(
+        F.col("found").cast("string").alias("id"),
+        F.col("p_name").alias("name"),
+        F.array(F.struct(F.lit("a").alias("id"), F.col("p_brand").alias("name"))).alias("artists"),
+    )
+    items = F.when(F.col("found").isNotNull(), F.array(hit)).otherwise(F.array().cast(_items_type()))
+    return part.join(known, ["p_name", "p_brand"], "left").select(
+        F.col("p_partkey").alias("request_id"),
+        F.to_json(F.struct(F.struct(items.alias("items")).alias("tracks"))).alias("body"),
+    )
+
+
+def _items_type():
+    return TOP_TRACKS_PAYLOAD["items"].dataType
+
+
+def top_track_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's 20 most played tracks as JSON text."""
+    plays = (
+        listens(spark, sf_dir)
+        .groupBy("user_id", "track_id")
+        .agg(F.sum("playcount").alias("plays"))
+        .withColumn(
+            "place",
+            F.row_number().over(
+                Window.partitionBy("user_id").orderBy(F.col("plays").desc(), "track_id")
+            ),
+        )
+        .where("place <= 20")
+    )
+    entry = F.struct(
+        "place",
+        F.col("track_id").cast("string").alias("id"),
+        "name",
+        F.array(F.struct(F.lit("a").alias("id"), F.col("artist").alias("name"))).alias("artists"),
+    )
+    ordered = F.transform(
+        F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["id"], e["name"], e["artists"])
+    )
+    return (
+        plays.join(music_info(spark, sf_dir), "track_id")
+        .groupBy("user_id")
+        .agg(F.to_json(F.struct(ordered.alias("items"))).alias("body"))
+    )
