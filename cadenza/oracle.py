@@ -323,7 +323,7 @@ ORACLE: dict[str, str] = {
     "p_brand || ''', ''' || p_type AS inside, p_name || ' - ' || p_brand AS dashed, "
     "p_name || ' by ' || p_brand AS key_by, p_name || ' - ' || p_brand AS key_dash, p_name AS key_title, "
     "p_brand AS first_artist, CAST(2 AS INTEGER) AS n_artists FROM part",
-    "cleaned_documents": f"SELECT doc_id, length({_CLEAN.format('text')}) AS n, "
+    "cleaned_documents": f"SELECT doc_id, CAST(length({_CLEAN.format('text')}) AS INTEGER) AS n, "
     f"md5({_CLEAN.format('text')}) AS digest FROM documents",
     "fuzzy_scores": f"WITH {MISSPELT}, prepared AS (SELECT request_id, length(a) AS qn, length(b) AS cn, "
     f"(CAST(1 AS HUGEINT) << length(a)) - 1 AS ones, {_masks('a')} AS masks, {_codes('b')} AS codes FROM "
@@ -389,8 +389,8 @@ ORACLE: dict[str, str] = {
     "VARCHAR), ',' ORDER BY p_partkey) AS ids, CAST(count(*) AS INTEGER) AS n_ids FROM (SELECT p_partkey, "
     "row_number() OVER (ORDER BY p_partkey) AS no FROM part) GROUP BY 1",
     "top_tracks_report": f"WITH {TRACKS}, {TOP_TRACKS} SELECT user_id, pos, CAST(track_id AS VARCHAR) AS "
-    "track_id, (pos + 1) || '. ' || artist || ' - ' || p.name || ' | energy: ' || round(energy, 1) || "
-    "', danceability: ' || round(danceability, 1) || ', tempo: ' || round(tempo, 1) AS line "
+    "track_id, (pos + 1) || '. ' || artist || ' - ' || p.name || ' | energy: ' || (round(energy, 1) + CAST(0 AS DOUBLE)) || "
+    "', danceability: ' || (round(danceability, 1) + CAST(0 AS DOUBLE)) || ', tempo: ' || (round(tempo, 1) + CAST(0 AS DOUBLE)) AS line "
     "FROM top_tracks p JOIN tracks t ON t.id = p.track_id",
     "paired_by_position": f"WITH {TRACKS}, {TOP_TRACKS}, records AS (SELECT user_id, row_number() OVER "
     "(PARTITION BY user_id ORDER BY pos) - 1 AS pos, energy FROM top_tracks p JOIN tracks t "

@@ -28,12 +28,16 @@ def report_line() -> Column:
     )
 
 
-def top_tracks_with_features(
-    tracks: DataFrame, records: DataFrame, features: list[str]
-) -> DataFrame:
+def tracks_with_features(tracks: DataFrame, records: DataFrame, features: list[str]) -> DataFrame:
     """Each listed track with the record whose address names its id; tracks without one are left out."""
     found = feature_table(records, features).withColumnRenamed("spotify_id", "track_id")
-    return tracks.join(found, "track_id").withColumn("line", report_line())
+    return tracks.join(found, "track_id")
+
+
+def top_tracks_report(tracks: DataFrame, records: DataFrame) -> DataFrame:
+    """Listed tracks with a numbered line about each."""
+    shown = ["energy", "danceability", "tempo"]
+    return tracks_with_features(tracks, records, shown).withColumn("line", report_line())
 
 
 def paired_by_position(tracks: DataFrame, records: DataFrame, within: list[str]) -> DataFrame:

@@ -453,9 +453,7 @@ def _feature_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _top_track_requests(spark: SparkSession, sf: str, features: list[str]) -> DataFrame:
-    found = reports.top_tracks_with_features(
-        _top_tracks(spark, sf), _feature_records(spark, sf), features
-    )
+    found = reports.tracks_with_features(_top_tracks(spark, sf), _feature_records(spark, sf), features)
     return clean.fill_missing(found, features).select(
         (F.col("user_id") * 100 + F.col("pos")).alias("request_id"),
         F.col("name").alias("title"),
@@ -512,13 +510,10 @@ def id_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def top_tracks_report(spark: SparkSession, sf: str) -> DataFrame:
-    found = reports.top_tracks_with_features(
-        _top_tracks(spark, sf),
-        _feature_records(spark, sf).withColumns(
-            {f: F.round(f"{f}", 1) for f in ("energy", "danceability", "tempo")}
-        ),
-        ["energy", "danceability", "tempo"],
+    records = _feature_records(spark, sf).withColumns(
+        {f: F.round(f, 1) + F.lit(0.0) for f in ("energy", "danceability", "tempo")}
     )
+    found = reports.top_tracks_report(_top_tracks(spark, sf), records)
     return found.select("user_id", "pos", "track_id", "line")
 
 
