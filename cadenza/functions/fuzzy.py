@@ -17,59 +17,85 @@ _PER_WORD = 20  # characters per 64-bit signature word
 _BUDGET = 4_000_000  # mask cells held at a time
 
 
-def _char_matrix(texts: list[str], lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _char_matrix(texts: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Texts as rows of small character codes, padded with 0."""
-    out = np.zeros((len(texts), max(1, int(lengths.max(initial=0)))), dtype=np.int64)
+    out = np.zeros((len(texts), max(1, int(lengths.max(initial=0)))), dtype=np.int32)
     points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
     out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = np.searchsorted(table, points) + 1
     return out
 
 
-def common_lengths(left: list[str], right: list[str]) -> np.ndarray:
-    """Longest-common-subsequence length of each pair, bit-parallel over whole texts of any length."""
-    n_left = np.array([len(s) for s in left], dtype=np.int64)
-    n_right = np.array([len(s) for s in right], dtype=np.int64)
+def common_lengths(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Longest-common-subsequence length and summed text length of each pair.
+
+    Bit-parallel over whole texts of any length.
+
+    Texts that repeat within the batch are prepared once.
+    """
+    a_of, a_texts = pd.factorize(left)
+    b_of, b_texts = pd.factorize(right)
+    a_texts, b_texts = np.asarray(a_texts, dtype=object), np.asarray(b_texts, dtype=object)
+    points = "".join([*a_texts, *b_texts]).encode("utf-32-le")
+    table = np.unique(np.frombuffer(points, dtype=np.uint32))
+    n_b = np.array([len(s) for s in b_texts], dtype=np.int64)
+    b_codes = _char_matrix(b_texts, n_b, table)
+    n_a = np.array([len(s) for s in a_texts], dtype=np.int64)
     result = np.zeros(len(left), dtype=np.int64)
-    table = np.unique(np.frombuffer("".join([*left, *right]).encode("utf-32-le"), dtype=np.uint32))
-    order = np.lexsort((n_right, n_left))  # texts of like length share a chunk
+    by_length = np.argsort(n_a, kind="stable")
     start = 0
-    while start < len(order):
-        stop = start
-        words = 1
-        while stop < len(order):
-            words = max(words, -(-int(n_left[order[stop]]) // 64))
-            if stop > start and (stop - start + 1) * (len(table) + 1) * words > _BUDGET:
+    while start < len(by_length):
+        # As many left texts of like length as fit the mask budget.
+        stop = start + 1
+        while stop < len(by_length):
+            words = -(-int(n_a[by_length[stop]]) // 64)
+            if (stop - start + 1) * (len(table) + 1) * max(1, words) > _BUDGET:
                 break
             stop += 1
-        rows = order[start:stop]
-        words = max(1, -(-int(n_left[rows].max()) // 64))
-        a = _char_matrix([left[i] for i in rows], n_left[rows], table)
-        b = _char_matrix([right[i] for i in rows], n_right[rows], table)
-        result[rows] = _common(a, b, n_left[rows], words, len(table) + 1)
+        chosen = by_length[start:stop]
+        place = np.full(len(a_texts), -1, dtype=np.int64)
+        place[chosen] = np.arange(len(chosen))
+        rows = np.flatnonzero(place[a_of] >= 0)
+        result[rows] = _common(
+            _char_matrix(a_texts[chosen], n_a[chosen], table),
+            n_a[chosen],
+            place[a_of[rows]],
+            b_codes[b_of[rows]],
+            len(table) + 1,
+        )
         start = stop
-    return result
+    return result, n_a[a_of] + n_b[b_of]
 
 
-def _common(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, words: int, symbols: int) -> np.ndarray:
-    rows = np.arange(len(a))
-    masks = np.zeros((words, len(a), symbols), dtype=np.uint64)
-    for i in range(a.shape[1]):
-        masks[i // 64, rows, a[:, i]] |= np.uint64(1 << (i % 64))
+def _common(
+    a_codes: np.ndarray, n_a: np.ndarray, a_of: np.ndarray, b: np.ndarray, symbols: int
+) -> np.ndarray:
+    words = max(1, -(-int(n_a.max(initial=0)) // 64))
+    every_a = np.arange(len(a_codes))
+    masks = np.zeros((words, len(a_codes), symbols), dtype=np.uint64)
+    for i in range(a_codes.shape[1]):
+        masks[i // 64, every_a, a_codes[:, i]] |= np.uint64(1 << (i % 64))
     masks[:, :, 0] = 0  # padding matches nothing
-    state = np.full((words, len(a)), ~np.uint64(0))
+    flat = masks.reshape(words, -1)
+    base = a_of * symbols
+    state = np.full((words, len(a_of)), ~np.uint64(0))
     for j in range(b.shape[1]):
-        carry = np.zeros(len(a), dtype=np.uint64)
+        at = base + b[:, j]
+        carry = None
         for w in range(words):
-            hit = masks[w, rows, b[:, j]]
+            hit = flat[w].take(at)
             old = state[w]
             both = old & hit
-            part = old + both
-            full = part + carry
-            carry = ((part < old) | (full < part)).astype(np.uint64)
-            state[w] = full | (old & ~hit)
-    used = np.zeros(len(a), dtype=np.int64)
+            full = old + both
+            over = full < old
+            if carry is not None:
+                bumped = full + carry
+                over |= bumped < full
+                full = bumped
+            state[w] = full | (old ^ both)
+            carry = over.astype(np.uint64) if words > 1 else None
+    used = np.zeros(len(a_of), dtype=np.int64)
     for w in range(words):
-        inside = np.clip(n_a - 64 * w, 0, 64).astype(np.uint64)
+        inside = np.clip(n_a[a_of] - 64 * w, 0, 64).astype(np.uint64)
         valid = np.where(
             inside == 64, ~np.uint64(0), (np.uint64(1) << (inside % np.uint64(64))) - np.uint64(1)
         )
@@ -77,17 +103,17 @@ def _common(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, words: int, symbols:
     return used
 
 
-def ratio_of(left: list[str], right: list[str]) -> np.ndarray:
+def ratio_of(left: pd.Series, right: pd.Series) -> np.ndarray:
     """0-100 similarity ``2 * common / (len + len)``, halves rounded to even; blank texts score 0."""
-    size = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], dtype=float)
-    share = np.divide(2.0 * common_lengths(left, right), size, out=np.zeros_like(size), where=size > 0)
+    common, size = common_lengths(left, right)
+    share = np.divide(2.0 * common, size, out=np.zeros(len(size)), where=size > 0)
     return np.rint(100 * share).astype(np.int32)
 
 
 @F.pandas_udf(T.IntegerType())
 def fuzzy_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Similarity of two cleaned texts; a missing text counts as blank."""
-    return pd.Series(ratio_of(left.fillna("").tolist(), right.fillna("").tolist()))
+    return pd.Series(ratio_of(left.fillna(""), right.fillna("")))
 
 
 SIGNATURE_WORDS = -(-len(ALPHABET) // _PER_WORD)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.fuzzy import CLASSES, fuzzy_ratio, shared_at_most, text_signature
 from cadenza.functions.text import cleaned
 from cadenza.operators.grid import Grid, box_gaps, fit_grid
-from cadenza.session import materialize
+from cadenza.session import materialize, spread
 
 # Fixed value: scores below this are flagged as weak.
 WEAK_BELOW = 40
@@ -99,7 +99,10 @@ def best_matches(
         "block", F.pmod(F.xxhash64("clean"), grid.blocks(F.col("cell"))).cast("int")
     )
 
-    asked = text(requests.select("request_id", "search_text")).select("request_id", "clean")
+    asked = materialize(
+        text(requests.select("request_id", "search_text")).select("request_id", "clean"),
+        "fuzzy-requests",
+    )
     queries = asked.groupBy("clean").agg(F.min("request_id").alias("query_id"))
     equal = queries.join(
         known.select("clean", F.col("track_id").alias("equal_id")), "clean", "left"
@@ -111,12 +114,12 @@ def best_matches(
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "track_id")
 
     def compare(search: DataFrame) -> DataFrame:
-        spread = search.withColumn(
+        cells = spread(search, "query_id", "cell").withColumn(
             "block", F.explode(F.sequence(F.lit(0), grid.blocks(F.col("cell")) - 1))
         )
         most = 200.0 * shared_at_most("q", "t") / F.greatest(F.col("q.length") + F.col("t.length"), F.lit(1.0))
         return (
-            spread.alias("q")
+            cells.alias("q")
             .join(known.alias("t"), ["cell", "block"])
             .where(most + 0.5 + 1e-6 >= F.col("bound"))
             .select(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.numeric import cosine, euclidean, norm
 from cadenza.operators.grid import Grid, box_gaps, box_reach, fit_grid
 from cadenza.operators.scaling import Scaler, fit_scaler
-from cadenza.session import materialize
+from cadenza.session import materialize, spread
 
 _SLACK = 1e-9  # widens every bound, so that rounding can only add work, never lose a row
 _ROWS_AT_ONCE = 256  # request rows compared with all boxes at a time
@@ -126,15 +126,21 @@ def nearest(
     # Equal requests are answered once.
     self_key = ["self_id"] if exclude_self else []
     title_key = ["query_title"] if exclude_same_title else []
-    asked = vectors(
-        requests,
-        F.col("request_id"),
-        F.lower("title").alias("query_title"),
-        F.col("track_id").alias("self_id"),
+    asked = materialize(
+        vectors(
+            requests,
+            F.col("request_id"),
+            *([F.lower("title").alias("query_title")] if exclude_same_title else []),
+            *([F.col("track_id").alias("self_id")] if exclude_self else []),
+        ),
+        "neighbour-requests",
     )
     query_key = [*z, *title_key, *self_key]
-    queries = asked.groupBy(*query_key, *([*u, "size"] if by_cosine else [])).agg(
-        F.min("request_id").alias("query_id")
+    queries = materialize(
+        asked.groupBy(*query_key, *([*u, "size"] if by_cosine else [])).agg(
+            F.min("request_id").alias("query_id")
+        ),
+        "neighbour-queries",
     )
 
     eligible = F.lit(True)
@@ -159,11 +165,11 @@ def nearest(
 
     def compare(search: DataFrame) -> DataFrame:
         """Score each (query, cell) row against the tracks of that cell."""
-        spread = search.withColumn(
+        cells = spread(search, "query_id", "cell").withColumn(
             "block", F.explode(F.sequence(F.lit(0), grid.blocks(F.col("cell")) - 1))
         )
         return (
-            spread.alias("q")
+            cells.alias("q")
             .join(items.alias("i"), ["cell", "block"])
             .where(eligible)
             .withColumn("score", score)

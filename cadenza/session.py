@@ -56,3 +56,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over the configured number of shuffle partitions.
+
+    For few, light rows that each cause a lot of work downstream: adaptive execution would merge their
+    partitions by size alone.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
