@@ -50,10 +50,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Later stages then start from files, so losing an executor never replays the steps before.
+    Later stages then start from files, so losing an executor never replays the steps before. All tables
+    of one application are in one subfolder, which may be dropped when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
