@@ -21,9 +21,14 @@ ELBOW_MAX = 19
 
 
 def _vectors(df: DataFrame, features: list[str], scaler: Scaler | None) -> DataFrame:
-    scaled = scaler.transform(df) if scaler else df
-    assembled = VectorAssembler(inputCols=features, outputCol="_features").transform(scaled)
-    return assembled.select("id", "_features")
+    """The columns of ``df`` plus the (scaled) features as one vector."""
+    inputs = [f"_{f}" for f in features]
+    numbers = {
+        i: scaler.scaled(f) if scaler else F.col(f).cast("double")
+        for i, f in zip(inputs, features, strict=True)
+    }
+    assembler = VectorAssembler(inputCols=inputs, outputCol="_features")
+    return assembler.transform(df.withColumns(numbers)).select(*df.columns, "_features")
 
 
 def _fit_once(vectors: DataFrame, k: int, seed: int) -> tuple[float, KMeansModel]:
@@ -56,16 +61,13 @@ def cluster_tracks(
 ) -> DataFrame:
     """Catalogue with a ``cluster`` column from standardised features."""
     scaler = fit_scaler(catalogue, features)
-    vectors = _vectors(catalogue, features, scaler).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _vectors(catalogue.select(*features), features, scaler).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _, model = fit_kmeans(vectors, k, restarts, seed, parallelism)
     finally:
         vectors.unpersist()
-    scaled = scaler.transform(catalogue.select("id", *features))
-    scored = model.transform(
-        VectorAssembler(inputCols=features, outputCol="_features").transform(scaled)
-    ).select("id", F.col("prediction").alias("cluster"))
-    return catalogue.join(scored, "id")
+    labelled = model.transform(_vectors(catalogue, features, scaler))
+    return labelled.select(*catalogue.columns, F.col("prediction").alias("cluster"))
 
 
 def elbow_table(
@@ -78,7 +80,7 @@ def elbow_table(
 ) -> DataFrame:
     """Inertia per k = 1..``largest_k``. k = 1 is the total squared deviation, needing no fit."""
     scaler = fit_scaler(catalogue, features)
-    vectors = _vectors(catalogue, features, scaler).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _vectors(catalogue.select(*features), features, scaler).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scaled = scaler.transform(catalogue.select(*features))
         spread = sum((F.sum(F.col(f) * F.col(f)) for f in features), F.lit(0.0))
@@ -92,7 +94,7 @@ def elbow_table(
 
 def project_2d(catalogue: DataFrame, features: list[str]) -> DataFrame:
     """Two principal components of the unscaled features: id, pc1, pc2."""
-    vectors = _vectors(catalogue, features, None)
+    vectors = _vectors(catalogue.select("id", *features), features, None)
     model = PCA(k=2, inputCol="_features", outputCol="_pc").fit(vectors)
     point = vector_to_array("_pc")
     return model.transform(vectors).select("id", point[0].alias("pc1"), point[1].alias("pc2"))

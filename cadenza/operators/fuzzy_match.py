@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.fuzzy import CLASSES, fuzzy_ratio, shared_at_most, text_signature
 from cadenza.functions.text import cleaned
-from cadenza.operators.grid import Grid, box_gaps, fit_grid
+from cadenza.operators.grid import MAX_CELLS, Grid, box_gaps, fit_grid
 from cadenza.session import materialize, spread
 
 # Fixed value: scores below this are flagged as weak.
@@ -25,19 +25,18 @@ WEAK_BELOW = 40
 _AXES = ["length", *[f"class{i}" for i in range(len(CLASSES))]]
 # Up to this length no text other than an equal one can round to 100.
 _EQUAL_ONLY = 98
-_ROWS_AT_ONCE = 256
 
 
 def _closest_cell(grid: Grid) -> Callable[..., Column]:
-    ids, low, high = grid.ids, grid.low, grid.high
+    ids, low, high, rows = grid.ids, grid.low, grid.high, grid.rows_at_once()
 
     @F.pandas_udf("int")
     def closest_cell(*axes: pd.Series) -> pd.Series:
         points = np.column_stack([a.to_numpy(dtype=float) for a in axes])
         middle = (low + high) / 2
         found = []
-        for start in range(0, len(points), _ROWS_AT_ONCE):
-            away = np.abs(points[start : start + _ROWS_AT_ONCE, None, :] - middle[None]).sum(axis=2)
+        for start in range(0, len(points), rows):
+            away = np.abs(points[start : start + rows, None, :] - middle[None]).sum(axis=2)
             found.append(ids[away.argmin(axis=1)])
         return pd.Series(np.concatenate(found).astype(np.int32))
 
@@ -46,15 +45,15 @@ def _closest_cell(grid: Grid) -> Callable[..., Column]:
 
 def _cells_reaching(grid: Grid) -> Callable[..., Column]:
     """Cells in which some title could still score at least ``bound``, other than the one searched."""
-    ids, low, high = grid.ids, grid.low, grid.high
+    ids, low, high, rows = grid.ids, grid.low, grid.high, grid.rows_at_once()
 
     @F.pandas_udf("array<int>")
     def cells_reaching(bound: pd.Series, searched: pd.Series, *axes: pd.Series) -> pd.Series:
         points = np.column_stack([a.to_numpy(dtype=float) for a in axes])
         wanted, seen = bound.to_numpy(dtype=float), searched.to_numpy()
         found: list[list[int]] = []
-        for start in range(0, len(points), _ROWS_AT_ONCE):
-            p = points[start : start + _ROWS_AT_ONCE]
+        for start in range(0, len(points), rows):
+            p = points[start : start + rows]
             length = p[:, :1]
             apart = box_gaps(p[:, 1:], low[:, 1:], high[:, 1:]).sum(axis=2)
             shared = np.minimum(p[:, None, 1:], high[None, :, 1:]).sum(axis=2)
@@ -74,7 +73,7 @@ def best_matches(
     requests: DataFrame,
     titles: DataFrame,
     rows_per_cell: int = 64,
-    max_cells: int = 4096,
+    max_cells: int = MAX_CELLS,
     rows_per_block: int = 50_000,
 ) -> DataFrame:
     """request_id, track_id, match_score (0-100) and is_weak_match for every request.

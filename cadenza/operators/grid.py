@@ -12,8 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CELLS = 4096
+MAX_CELLS = 16_384
 _FINEST = 16  # most slices of one column
+_BOX_VALUES = 2_000_000  # numbers in one point-by-box array
 
 
 @dataclass
@@ -37,6 +38,10 @@ class Grid:
             number = number * (len(cuts) + 1) + piece
         return number
 
+    def rows_at_once(self) -> int:
+        """Points compared with all boxes in one step, so that the temporary arrays stay small."""
+        return max(1, _BOX_VALUES // max(1, len(self.ids) * len(self.columns)))
+
     def blocks(self, cell: Column) -> Column:
         """Into how many blocks the rows of a cell are split (1 unless the cell is crowded)."""
         crowded = []

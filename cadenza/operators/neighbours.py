@@ -16,24 +16,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.numeric import cosine, euclidean, norm
-from cadenza.operators.grid import Grid, box_gaps, box_reach, fit_grid
+from cadenza.operators.grid import MAX_CELLS, Grid, box_gaps, box_reach, fit_grid
 from cadenza.operators.scaling import Scaler, fit_scaler
 from cadenza.session import materialize, spread
 
 _SLACK = 1e-9  # widens every bound, so that rounding can only add work, never lose a row
-_ROWS_AT_ONCE = 256  # request rows compared with all boxes at a time
 
 
-def _in_slices(points: np.ndarray, pick: Callable[[np.ndarray, int], list]) -> list:
+def _in_slices(points: np.ndarray, rows: int, pick: Callable[[np.ndarray, int], list]) -> list:
     found = []
-    for start in range(0, len(points), _ROWS_AT_ONCE):
-        found.extend(pick(points[start : start + _ROWS_AT_ONCE], start))
+    for start in range(0, len(points), rows):
+        found.extend(pick(points[start : start + rows], start))
     return found
 
 
 def _first_cells(grid: Grid, wanted: int) -> Callable[..., Column]:
     """Nearest cells that together surely hold ``wanted`` eligible rows (all cells if none do)."""
-    ids, low, high, sure = grid.ids, grid.low, grid.high, grid.sure
+    ids, low, high, sure, rows = grid.ids, grid.low, grid.high, grid.sure, grid.rows_at_once()
 
     @F.pandas_udf("array<int>")
     def first_cells(*axes: pd.Series) -> pd.Series:
@@ -45,14 +44,14 @@ def _first_cells(grid: Grid, wanted: int) -> Callable[..., Column]:
             stop = np.where(reached.any(axis=1), reached.argmax(axis=1) + 1, len(ids))
             return [ids[row[:k]].tolist() for row, k in zip(order, stop, strict=True)]
 
-        return pd.Series(_in_slices(points, pick))
+        return pd.Series(_in_slices(points, rows, pick))
 
     return first_cells
 
 
 def _cells_within(grid: Grid) -> Callable[..., Column]:
     """Cells closer than ``radius`` that were not searched yet."""
-    ids, low, high = grid.ids, grid.low, grid.high
+    ids, low, high, rows = grid.ids, grid.low, grid.high, grid.rows_at_once()
 
     @F.pandas_udf("array<int>")
     def cells_within(radius: pd.Series, searched: pd.Series, *axes: pd.Series) -> pd.Series:
@@ -65,7 +64,7 @@ def _cells_within(grid: Grid) -> Callable[..., Column]:
             done = searched.iloc[start : start + len(chunk)]
             return [np.setdiff1d(ids[hit], seen).tolist() for hit, seen in zip(near, done, strict=True)]
 
-        return pd.Series(_in_slices(points, pick))
+        return pd.Series(_in_slices(points, rows, pick))
 
     return cells_within
 
@@ -80,7 +79,7 @@ def nearest(
     exclude_self: bool = False,
     scaler: Scaler | None = None,
     rows_per_cell: int = 64,
-    max_cells: int = 4096,
+    max_cells: int = MAX_CELLS,
     rows_per_block: int = 50_000,
 ) -> DataFrame:
     """The ``n`` nearest catalogue tracks of each request: request_id, rank, track_id, score.

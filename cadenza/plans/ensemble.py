@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +42,17 @@ def ensemble_recommendations(
     """
     found = materialize(resolved.where(F.col("status") != NOT_FOUND), "resolved")
     scaler = fit_scaler(catalogue, features)
-    near = knn_recommendations(found, catalogue, features, n, scaler=scaler)
-    alike = cosine_recommendations(found, catalogue, features, n, scaler=scaler)
-    shared = collaborative_recommendations(
-        found.select("request_id", "title", "artist"), interactions, metadata, n
-    )
+    with ThreadPoolExecutor(max_workers=3) as pool:  # the models do not depend on each other
+        near_job = pool.submit(knn_recommendations, found, catalogue, features, n, scaler=scaler)
+        alike_job = pool.submit(cosine_recommendations, found, catalogue, features, n, scaler=scaler)
+        shared_job = pool.submit(
+            collaborative_recommendations,
+            found.select("request_id", "title", "artist"),
+            interactions,
+            metadata,
+            n,
+        )
+        near, alike, shared = near_job.result(), alike_job.result(), shared_job.result()
     near = near.withColumn("line", strip("line"))
     return (
         _tagged(near, KNN, "artists")
