@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,12 @@ def best_matches(
     def text(df: DataFrame) -> DataFrame:
         return df.withColumn("clean", F.coalesce(cleaned("search_text"), F.lit("")))
 
+    side = ThreadPoolExecutor(max_workers=1)  # the request side does not wait for the title side
+    stored = side.submit(
+        materialize,
+        text(requests.select("request_id", "search_text")).select("request_id", "clean"),
+        "fuzzy-requests",
+    )
     known = materialize(
         sign(text(titles).groupBy("clean").agg(F.min("track_id").alias("track_id"))), "fuzzy-titles"
     )
@@ -98,10 +105,8 @@ def best_matches(
         "block", F.pmod(F.xxhash64("clean"), grid.blocks(F.col("cell"))).cast("int")
     )
 
-    asked = materialize(
-        text(requests.select("request_id", "search_text")).select("request_id", "clean"),
-        "fuzzy-requests",
-    )
+    asked = stored.result()
+    side.shutdown()
     queries = asked.groupBy("clean").agg(F.min("request_id").alias("query_id"))
     equal = queries.join(
         known.select("clean", F.col("track_id").alias("equal_id")), "clean", "left"

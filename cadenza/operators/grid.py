@@ -44,13 +44,13 @@ class Grid:
 
     def blocks(self, cell: Column) -> Column:
         """Into how many blocks the rows of a cell are split (1 unless the cell is crowded)."""
-        crowded = []
-        for cell_id, n in zip(self.ids, self.rows, strict=True):
-            if n > self.rows_per_block:
-                crowded += [F.lit(int(cell_id)), F.lit(-(-int(n) // self.rows_per_block))]
-        if not crowded:
+        if not len(self.rows) or self.rows.max() <= self.rows_per_block:
             return F.lit(1)
-        return F.coalesce(F.element_at(F.create_map(*crowded), cell), F.lit(1))
+        per_cell = np.ones(int(self.ids.max()) + 1, dtype=np.int64)
+        per_cell[self.ids] = -(-self.rows // self.rows_per_block)
+        # One constant array, folded when the query is planned and read by position.
+        table = F.split(F.lit(",".join(map(str, per_cell))), ",").cast("array<int>")
+        return F.coalesce(F.get(table, cell), F.lit(1))
 
     def measure(self, items: DataFrame, label: str | None = None) -> "Grid":
         """Learn bounds and row counts per occupied cell from ``items`` (which has a ``cell`` column).

@@ -9,6 +9,7 @@ Cosine uses the same machinery, because on unit vectors the squared distance is
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -104,16 +105,43 @@ def nearest(
             out = out.withColumns({b: F.col(a) / unit for a, b in zip(z, u, strict=True)})
         return out
 
-    # Copies of one vector tie everywhere, so only their n lowest ids (n + 1 where one of them may be the
-    # request itself) can be answers. The limit is applied before the shuffle as well as after it.
+    self_key = ["self_id"] if exclude_self else []
+    title_key = ["query_title"] if exclude_same_title else []
+    query_key = [*z, *title_key, *self_key]
+
+    def store_requests() -> tuple[DataFrame, DataFrame]:
+        """All requests, and the distinct ones: equal requests are answered once."""
+        rows = materialize(
+            vectors(
+                requests,
+                F.col("request_id"),
+                *([F.lower("title").alias("query_title")] if exclude_same_title else []),
+                *([F.col("track_id").alias("self_id")] if exclude_self else []),
+            ),
+            "neighbour-requests",
+        )
+        distinct = rows.groupBy(*query_key, *([*u, "size"] if by_cosine else [])).agg(
+            F.min("request_id").alias("query_id")
+        )
+        return rows, materialize(distinct, "neighbour-queries")
+
+    side = ThreadPoolExecutor(max_workers=1)  # the request side does not wait for the catalogue side
+    stored = side.submit(store_requests)
+
+    # Copies of one vector tie everywhere, so only their lowest ids can be answers: `keep` of them (one
+    # more than n where the request itself may be among them). Where one title is left out, `keep` per
+    # title and then the first 2 * keep of those are enough, as at most `keep` of them have that title.
+    # Each limit is applied before its shuffle as well as after it.
     keep = n + 1 if exclude_self else n
-    copies = Window.partitionBy(*z, *(["item_title"] if exclude_same_title else [])).orderBy("item_id")
-    items = (
-        vectors(catalogue, F.col("id").alias("item_id"), *title)
-        .withColumn("_copy", F.row_number().over(copies))
-        .where(F.col("_copy") <= keep)
-        .drop("_copy")
-    )
+    limits = [(["item_title"], keep), ([], 2 * keep)] if exclude_same_title else [([], keep)]
+    items = vectors(catalogue, F.col("id").alias("item_id"), *title)
+    for more_keys, limit in limits:
+        copies = Window.partitionBy(*z, *more_keys).orderBy("item_id")
+        items = (
+            items.withColumn("_copy", F.row_number().over(copies))
+            .where(F.col("_copy") <= limit)
+            .drop("_copy")
+        )
     items = materialize(items, "neighbour-items")
     grid = fit_grid(items, u, rows_per_cell, max_cells, rows_per_block)
     items = items.withColumn("cell", grid.cell())
@@ -122,25 +150,8 @@ def nearest(
         "block", F.pmod(F.xxhash64("item_id"), grid.blocks(F.col("cell"))).cast("int")
     )
 
-    # Equal requests are answered once.
-    self_key = ["self_id"] if exclude_self else []
-    title_key = ["query_title"] if exclude_same_title else []
-    asked = materialize(
-        vectors(
-            requests,
-            F.col("request_id"),
-            *([F.lower("title").alias("query_title")] if exclude_same_title else []),
-            *([F.col("track_id").alias("self_id")] if exclude_self else []),
-        ),
-        "neighbour-requests",
-    )
-    query_key = [*z, *title_key, *self_key]
-    queries = materialize(
-        asked.groupBy(*query_key, *([*u, "size"] if by_cosine else [])).agg(
-            F.min("request_id").alias("query_id")
-        ),
-        "neighbour-queries",
-    )
+    asked, queries = stored.result()
+    side.shutdown()
 
     eligible = F.lit(True)
     if exclude_same_title:

@@ -368,6 +368,9 @@ ORACLE: dict[str, str] = {
     f"{_SHOWN}, {_BY_LINE} FROM best",
     "cosine_tracks": f"WITH {TRACKS}, {_nearest(FEATURES_4, _self(FEATURES_4), 3, 'cosine', skip_title=True)} "
     f"{_SHOWN}, name || ' by ' || substr(artists, 3, length(artists) - 4) AS line FROM best",
+    "knn_one_song": f"WITH {TRACKS}, one AS (SELECT CAST(0 AS BIGINT) AS request_id, '' AS title, "
+    f"id AS track_id, {', '.join(FEATURES_4)} FROM tracks ORDER BY id LIMIT 1), "
+    f"{_nearest(FEATURES_4, 'one', 10, 'euclidean')} {_SHOWN}, {_BY_LINE} FROM best",
     "first_three": f"WITH {TRACKS}, {_nearest(FEATURES_4, _self(FEATURES_4), 3, 'euclidean')} "
     f"SELECT request_id, rank, track_id, {_r('score', 'score')} FROM best",
     "batch_cosine_top_tracks": f"WITH {TRACKS}, {TOP_TRACKS}, "

@@ -433,6 +433,16 @@ def cosine_tracks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def knn_one_song(spark: SparkSession, sf: str) -> DataFrame:
+    """One song given as a table row, against the whole catalogue."""
+    tracks = star.tracks(spark, sf)
+    song = tracks.orderBy("id").limit(1)
+    return _shown(
+        recommend.knn_recommendations(recommend.request_from(spark, song, FEATURES_4), tracks, FEATURES_4)
+    )
+
+
 @query
 def first_three(spark: SparkSession, sf: str) -> DataFrame:
     tracks = star.tracks(spark, sf)
