@@ -67,6 +67,15 @@ def test_same_as_brute_force_with_hot_copies_and_titles(spark, metric, skip_titl
     assert answers(hits) == brute(values, names, 5, metric, skip_title, skip_self)
 
 
+@pytest.mark.parametrize("skip_title, skip_self", [(True, False), (True, True), (False, True)])
+def test_one_vector_under_many_titles(spark, skip_title, skip_self):
+    values = [(1, 2, 3)] * 60 + [(5, 1, 0), (0, 0, 1), (2, 2, 2)]
+    names = ["Same"] * 12 + [f"t{i // 2}" for i in range(51)]
+    tracks = catalogue(spark, values, names)
+    hits = nearest(requests_for(tracks), tracks, FEATURES, 3, "cosine", skip_title, skip_self)
+    assert answers(hits) == brute(values, names, 3, "cosine", skip_title, skip_self)
+
+
 def test_constant_feature_and_small_catalogue(spark):
     values = [(1, 5, 0), (2, 5, 1), (3, 5, 4)]
     names = ["a", "b", "B"]
