@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import balance, exact_dedup, hilbert, pii
+from cadenza.llm import balance, exact_dedup, hilbert, language_cnn, pii, token_counts
 from cadenza.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(exact_dedup.thirds(documents(spark, sf_dir)))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_cnn.identify(documents(spark, sf_dir))
+
+
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.mix(documents(spark, sf_dir))
 
@@ -28,7 +37,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_hilbert_shards, op6_exact_dedup, op9_entropy_mix, op10_pii_spans)}
+REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_hilbert_shards, op6_exact_dedup, op7_token_counts, op8_language_cnn, op9_entropy_mix, op10_pii_spans)}
 
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
