@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import balance, exact_dedup, hilbert, language_cnn, pii, token_counts
-from cadenza.llm.common import documents
+from cadenza.llm import balance, exact_dedup, hilbert, language_cnn, pii, token_counts, toxicity
+from cadenza.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir), 16)
 
 
+def op2_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(exact_dedup.thirds(documents(spark, sf_dir)))
 
@@ -37,7 +41,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_hilbert_shards, op6_exact_dedup, op7_token_counts, op8_language_cnn, op9_entropy_mix, op10_pii_spans)}
+REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_hilbert_shards, op2_toxicity_kernel, op6_exact_dedup, op7_token_counts, op8_language_cnn, op9_entropy_mix, op10_pii_spans)}
 
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
