@@ -135,3 +135,13 @@ class Hasher:
 
 def binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+#: Up to so many 8-byte keys are sent to every executor, counted first; more are met by a shuffle.
+BROADCAST_KEYS = 250_000
+
+
+def keep_keys(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is in ``keys`` (distinct, already written), without shuffling the rows when there are few keys."""
+    small = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), on, "left_semi")
