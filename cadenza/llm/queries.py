@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import balance, exact_dedup, hilbert, jaccard_trees, language_cnn, pii, token_counts, toxicity
+from cadenza.llm import balance, decontamination, exact_dedup, hilbert, jaccard_trees, language_cnn, pii, token_counts, toxicity
 from cadenza.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op4_jaccard_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_trees.join(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_hilbert_shards, op2_toxicity_kernel, op4_jaccard_trees, op6_exact_dedup, op7_token_counts, op8_language_cnn, op9_entropy_mix, op10_pii_spans)}
+REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_hilbert_shards, op2_toxicity_kernel, op3_latent_decontamination, op4_jaccard_trees, op6_exact_dedup, op7_token_counts, op8_language_cnn, op9_entropy_mix, op10_pii_spans)}
 
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
