@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import text_or_empty
+from cadenza.llm.common import row_key, text_or_empty
 from cadenza.session import materialize
 
 MOST_COPIES = 3
@@ -113,8 +113,23 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     Repeated rows are separate documents. The per-source totals (one row a source) go through the driver. A
     source whose target is 0 takes nothing. An empty table gives no rows. Other columns are ignored.
     """
+    return _mixed(documents, weights).drop("key")
+
+
+def repeat(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The documents, with all their columns, each as often as the mix takes it.
+
+    Rows that repeat both id and text share their copies evenly, the rest of that division left out.
+    """
+    copies = _mixed(documents, weights).groupBy(F.col("key").alias("_key")).agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias("_copies"))
+    copies = materialize(copies.where("_copies > 0"), "mix-copies")
+    taken = documents.withColumn("_key", row_key()).join(copies.hint("shuffle_hash"), "_key")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(documents.columns)
+
+
+def _mixed(documents: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     spark = documents.sparkSession
-    rows = materialize(documents.select("doc_id", "source", word_count().alias("size")), "mix-sizes")
+    rows = materialize(documents.select("doc_id", "source", row_key().alias("key"), word_count().alias("size")), "mix-sizes")
     stats = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).toPandas()
     stats = stats.astype({"source": object})
     keys = [None if pd.isna(s) else s for s in stats["source"]]
@@ -136,10 +151,10 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     rated = (
         rows.join(F.broadcast(solved), same)
         .withColumn("rate", F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.exp(F.col("_m") * tilt), F.lit(float(MOST_COPIES)))))
-        .withColumn("_block", F.pmod(F.xxhash64("doc_id", "size"), F.col("_blocks")))
+        .withColumn("_block", F.pmod(F.xxhash64("key", F.lit("block")), F.col("_blocks")))
         .drop("_s", "_m", "_mean", "_blocks")
     )
-    schema = "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long"
+    schema = "doc_id long, key long, source string, size long, source_size long, target double, rate double, copies long, taken long"
 
     def round_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")

@@ -27,6 +27,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_key() -> Column:
+    """Names a row by its id and text, so that null and repeated ids do no harm."""
+    return F.xxhash64(F.col("doc_id"), text_or_empty())
+
+
 def remainder(doc_id: str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``."""
     return F.crc32(F.col(doc_id).cast("string")) % n
@@ -145,3 +150,9 @@ def keep_keys(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows whose key is in ``keys`` (distinct, already written), without shuffling the rows when there are few keys."""
     small = keys.count() <= BROADCAST_KEYS
     return rows.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), on, "left_semi")
+
+
+def drop_keys(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is not in ``keys``; the same choice as in keep_keys."""
+    small = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), on, "left_anti")

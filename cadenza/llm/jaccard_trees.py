@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Hasher, Texts, keep_keys, pieces, text_or_empty, words
+from cadenza.llm.common import Hasher, Texts, drop_keys, keep_keys, pieces, row_key, words
 from cadenza.llm.common import mix as scramble
 from cadenza.llm.components import components
 from cadenza.session import materialize
@@ -99,11 +99,6 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _row_key() -> Column:
-    """Names a row by what it holds, so that null and repeated ids do no harm."""
-    return F.xxhash64(F.col("doc_id"), text_or_empty())
-
-
 def _frequent(documents: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
@@ -111,7 +106,7 @@ def _frequent(documents: DataFrame) -> np.ndarray:
             value, _ = shingles(texts, hasher)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64))], ["token"])
 
-    some = documents.where(F.pmod(_row_key(), F.lit(GUESS_EVERY)) == 0).select("text")
+    some = documents.where(F.pmod(row_key(), F.lit(GUESS_EVERY)) == 0).select("text")
     counts = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n >= 4")
     top = counts.orderBy(F.desc("n"), "token").limit(GUESS_KEEP).select("token").toPandas()
     return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
@@ -135,7 +130,7 @@ def _sets(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
                 ["doc_id", "key", "n", "cls", "prefix"],
             )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("key"), "text")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
     return rows.mapInArrow(run, "doc_id long, key long, n long, cls long, prefix array<long>")
 
 
@@ -192,7 +187,7 @@ def _whole_sets(documents: DataFrame, keys: DataFrame) -> DataFrame:
                 ["cls", "n", "tokens", "sig"],
             )
 
-    rows = keep_keys(documents.select(_row_key().alias("key"), "text"), keys, "key")
+    rows = keep_keys(documents.select(row_key().alias("key"), "text"), keys, "key")
     return rows.select("text").mapInArrow(run, "cls long, n long, tokens array<long>, sig binary")
 
 
@@ -306,6 +301,29 @@ def join(documents: DataFrame) -> DataFrame:
     with equal sets are one class, whatever their ids; a null id counts only where all ids of a component are
     null. An empty table gives no rows. Other columns are ignored.
     """
+    return _joined(documents).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """The documents, with all their columns, less all but one of each component.
+
+    The smallest doc_id stays (a null one only where there is no other). Of rows that repeat both id and text
+    one stays. Texts without words stay, all of them.
+    """
+    rows = _joined(documents, names=True).where("n_shingles > 0")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    stays = rows.groupBy("root").agg(best.alias("best"))
+    told = rows.select("root", "key").distinct().join(stays, "root")
+    losers = materialize(told.where(F.col("key") != F.col("best.key")).select(F.col("key").alias("_key")).distinct(), "tree-losers")
+    repeated = materialize(rows.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key"), "tree-repeated")
+    kept = drop_keys(documents.withColumn("_key", row_key()), losers, "_key")
+    if not repeated.isEmpty():
+        kept = drop_keys(kept, repeated, "_key").unionByName(keep_keys(kept, repeated, "_key").dropDuplicates(["_key"]))
+    return kept.select(documents.columns)
+
+
+def _joined(documents: DataFrame, names: bool = False) -> DataFrame:
+    """join, with key and root too where ``names`` is set."""
     docs = materialize(_sets(documents, _frequent(documents)), "tree-sets")
     classes = docs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"))
     tokens = docs.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "cls", "n")
@@ -332,7 +350,10 @@ def join(documents: DataFrame) -> DataFrame:
     named = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     named = materialize(named.select("cls", "least", F.coalesce("root", "cls").alias("root")), "tree-roots")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = named.join(lowest, "root").select("cls", "component_id")
-    return docs.select("doc_id", "n", "cls").join(answer, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    answer = named.join(lowest, "root").select("cls", "component_id", *["root"] * names)
+    return docs.select("doc_id", "n", "cls", *["key"] * names).join(answer, "cls", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *["key", "root"] * names,
     )

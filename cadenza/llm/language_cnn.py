@@ -24,6 +24,8 @@ FILTERS = 16
 #: About so many documents of each language are fitted on, and so many windows of each at most.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 500, 10
 EPOCHS, BATCH = 4, 128
+#: Least probability at which a text counts as recognised.
+LEAST = 0.4
 #: Windows scored at once.
 BLOCK = 512
 
@@ -215,3 +217,21 @@ def identify(documents: DataFrame) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     net = fit(documents.where(F.col("doc_id").isNotNull() & ~held_out))
     return predict(documents, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def keep_recognised(documents: DataFrame, least: float = LEAST) -> DataFrame:
+    """The documents, with all their columns, whose language is recognised.
+
+    Rejected are texts without letters, and those whose best language has a probability below ``least``. The network is
+    fitted as in identify. Where no row has a language to learn from, only texts without letters are rejected.
+    """
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    net = fit(documents.where(F.col("doc_id").isNotNull() & ~held_out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(net) if net else None
+        for batch, texts in pieces(batches):
+            keep = scorer.texts(texts).max(axis=1) >= least if scorer else np.ones(texts.n, bool)
+            yield batch.filter(pa.array(keep))
+
+    return documents.where(text_or_empty().rlike(r"\p{L}")).mapInArrow(run, documents.schema)
