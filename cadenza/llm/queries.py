@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import balance, decontamination, exact_dedup, hilbert, jaccard_trees, language_cnn, pii, token_counts, toxicity
+from cadenza.llm import balance, decontamination, exact_dedup, hilbert, jaccard_trees, language_cnn, pii, suffix_runs, token_counts, toxicity
 from cadenza.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_jaccard_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_trees.join(documents(spark, sf_dir))
 
 
+def op5_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_runs.dedup(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(exact_dedup.thirds(documents(spark, sf_dir)))
 
@@ -49,7 +53,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_hilbert_shards, op2_toxicity_kernel, op3_latent_decontamination, op4_jaccard_trees, op6_exact_dedup, op7_token_counts, op8_language_cnn, op9_entropy_mix, op10_pii_spans)}
+REGISTRY: dict[str, Query] = {f.__name__: f for f in (op1_hilbert_shards, op2_toxicity_kernel, op3_latent_decontamination, op4_jaccard_trees, op5_suffix_runs, op6_exact_dedup, op7_token_counts, op8_language_cnn, op9_entropy_mix, op10_pii_spans)}
 
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": """
