@@ -5,8 +5,8 @@ anchor at the same place, so a window can only recur where its anchor's K bytes
 one stretch of text, the anchor's span.
 
 1. Spans meet by their anchor's hash. A span that a smaller document holds whole is settled. Where only the anchor and
-   15 bytes on one side of it recur, the span is open. Tasks settle what they hold themselves first, and send each
-   span once.
+   the bytes around it that some of its windows have in common recur, the span is open. Tasks settle what they hold
+   themselves first, and send each span once.
 2. Open spans are exchanged as runs: suffixes from the anchor on, sorted and front-coded (the length of the prefix
    shared with the suffix before, then the rest). A loser tree merges the runs of all tasks; it compares two suffixes
    only from the first byte on that is not known to be equal, and hands on the length of the common prefix.
@@ -24,16 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Hasher, Texts, pieces, row_key, text_or_empty
+from cadenza.llm.common import Hasher, Texts, keep_keys, pieces, row_key, store_packed, text_or_empty
 from cadenza.session import materialize
 
 WIDTH, K = 50, 20
-#: A window holds this many bytes left of its anchor, or as many more right of the anchor's K bytes.
-SIDE = (WIDTH - K) // 2
+#: Windows of one anchor by how many bytes of them lie left of it, in groups (least, most). The windows of a group share
+#: the bytes from ``least`` left of the anchor to the end of the window that begins ``most`` left of it.
+GROUPS = [(a, min(a + 7, WIDTH - K)) for a in range(0, WIDTH - K + 1, 8)]
 #: Bytes of text whose anchors one part of an exchange takes, on average.
 PART_BYTES = 8 << 20
 #: Anchors, and open spans, that a task holds before it sends them.
-HELD, HELD_OPEN = 400_000, 100_000
+HELD, HELD_OPEN = 300_000, 100_000
+#: Kinds of an answer: held whole by a smaller id; open, for larger ids to compare with; open, for a smaller id.
+SETTLED, OPEN, TARGET = 0, 1, 2
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -48,7 +51,7 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of all texts: place ``p``, first and last window start, text, hashes of the K bytes, span and both sides."""
+    """Anchors of all texts: place ``p``, first and last window start, text, hashes of the K bytes, the span and the sides."""
 
     def __init__(self, texts: Texts, hasher: Hasher):
         n = len(texts.data)
@@ -77,11 +80,12 @@ class Anchors:
                 self.owner = texts.owner(self.lo)
         self.anchor = (hashes[self.p] >> np.uint64(16)) & _LOW if len(self.p) else np.zeros(0, np.uint64)
         self.span = hasher.stretches(sums, self.lo, self.hi + WIDTH) >> np.uint64(16)
-        has_left, has_right = self.lo <= self.p - SIDE, self.hi > self.p - SIDE
-        left = hasher.stretches(sums, np.maximum(self.p - SIDE, 0), self.p + K) >> np.uint64(56)
-        right = hasher.stretches(sums, self.p, np.minimum(self.p + K + SIDE, n)) >> np.uint64(56)
-        self.left = np.where(has_left, left | np.uint64(1), 0).astype(np.uint8)
-        self.right = np.where(has_right, right | np.uint64(1), 0).astype(np.uint8)
+        # One byte per group: 0 where no window is of the group, else a hash of what its windows share.
+        self.sides = np.zeros((len(self.p), len(GROUPS)), np.uint8)
+        for g, (least, most) in enumerate(GROUPS):
+            has = np.flatnonzero((self.lo <= self.p - least) & (self.hi >= self.p - most))
+            shared = hasher.stretches(sums, self.p[has] - least, self.p[has] - most + WIDTH)
+            self.sides[has, g] = 1 + shared % np.uint64(255)
 
 
 def _six(values: np.ndarray) -> bytes:
@@ -96,6 +100,19 @@ def _unsix(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _gaps(ids: np.ndarray) -> bytes:
+    """Ascending ids: the first, then the gaps, in as few bytes each as the widest gap needs."""
+    gaps = np.diff(ids.view(np.uint64))
+    kind = np.min_scalar_type(gaps.max()) if len(gaps) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + ids[:1].tobytes() + gaps.astype(kind).tobytes()
+
+
+def _ungaps(blob: bytes) -> np.ndarray:
+    gaps = np.frombuffer(blob[9:], f"<u{blob[0]}").astype(np.uint64)
+    first = np.frombuffer(blob[1:9], np.uint64)
+    return np.cumsum(np.concatenate([first, gaps]), dtype=np.uint64).view(np.int64)
+
+
 def _settled(anchor: np.ndarray, span: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by anchor, span, id; in that order the number of the equal span, and whether a smaller id holds it."""
     order = np.lexsort((ids, span, anchor))
@@ -114,7 +131,7 @@ def _by_id(ids: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(ids[a]), _six(np.unique(spans[a:b]))
 
 
-_SENT = "part int, id long, anchor binary, span binary, left binary, right binary, doc binary, ids binary"
+_SENT = "part int, id long, anchor binary, span binary, sides binary, doc binary, ids binary"
 
 
 def _send_spans(documents: DataFrame, n_parts: int) -> DataFrame:
@@ -122,13 +139,13 @@ def _send_spans(documents: DataFrame, n_parts: int) -> DataFrame:
 
     def rows(held: list[tuple]) -> pa.RecordBatch:
         out: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
-        anchor, span, left, right, ids = (np.concatenate(x) for x in zip(*held))
+        anchor, span, sides, ids = (np.concatenate(x) for x in zip(*held))
         order, _, settled = _settled(anchor, span, ids)
-        anchor, span, left, right, ids = (x[order] for x in (anchor, span, left, right, ids))
+        anchor, span, sides, ids = (x[order] for x in (anchor, span, sides, ids))
         for one, blob in _by_id(ids[settled], span[settled]):
-            for name, value in zip(out, (hash(one) % n_parts, one, None, blob, None, None, None, None)):
+            for name, value in zip(out, (hash(one) % n_parts, one, None, blob, None, None, None)):
                 out[name].append(value)
-        anchor, span, left, right, ids = (x[~settled] for x in (anchor, span, left, right, ids))
+        anchor, span, sides, ids = (x[~settled] for x in (anchor, span, sides, ids))
         part = (anchor % np.uint64(n_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(n_parts + 1))
@@ -136,7 +153,7 @@ def _send_spans(documents: DataFrame, n_parts: int) -> DataFrame:
             r = order[cut[i] : cut[i + 1]]
             if len(r):
                 some, doc = np.unique(ids[r], return_inverse=True)
-                values = (i, None, _six(anchor[r]), _six(span[r]), left[r].tobytes(), right[r].tobytes(), doc.astype(np.uint32 if len(some) > 65535 else np.uint16).tobytes(), some.tobytes())
+                values = (i, None, _six(anchor[r]), _six(span[r]), sides[r].tobytes(), doc.astype(np.uint32 if len(some) > 65535 else np.uint16).tobytes(), _gaps(some))
                 for name, value in zip(out, values):
                     out[name].append(value)
         types = {"part": pa.int32(), "id": pa.int64()}
@@ -153,7 +170,7 @@ def _send_spans(documents: DataFrame, n_parts: int) -> DataFrame:
                 if not copy[i]:
                     seen[same] = one
             keep = ~copy[a.owner]
-            held.append((a.anchor[keep], a.span[keep], a.left[keep], a.right[keep], ids[a.owner[keep]]))
+            held.append((a.anchor[keep], a.span[keep], a.sides[keep], ids[a.owner[keep]]))
             count += int(keep.sum())
             if count >= HELD:
                 yield rows(held)
@@ -165,32 +182,32 @@ def _send_spans(documents: DataFrame, n_parts: int) -> DataFrame:
 
 
 def _answer_spans(sent: DataFrame) -> DataFrame:
-    """For each id: spans that a smaller id holds whole, and open spans."""
+    """For each id the spans that a smaller id holds whole, and the open spans: hash and kind in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "settled", "open"]
+        names = ["id", "mark"]
         held = []
         for batch in batches:
-            known = batch.filter(batch.column("id").is_valid())
-            if len(known):
-                yield pa.RecordBatch.from_arrays([known.column("id"), known.column("span"), pa.array([b""] * len(known), pa.binary())], names)
+            for row in batch.filter(batch.column("id").is_valid()).select(["id", "span"]).to_pylist():
+                marks = _unsix(row["span"]) << np.uint64(2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(marks), row["id"])), pa.array(marks.astype(np.int64))], names)
             for row in batch.filter(batch.column("id").is_null()).to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
+                ids = _ungaps(row["ids"])
                 doc = np.frombuffer(row["doc"], np.uint32 if len(ids) > 65535 else np.uint16)
-                held.append((_unsix(row["anchor"]), _unsix(row["span"]), np.frombuffer(row["left"], np.uint8), np.frombuffer(row["right"], np.uint8), ids[doc]))
+                held.append((_unsix(row["anchor"]), _unsix(row["span"]), np.frombuffer(row["sides"], np.uint8).reshape(-1, len(GROUPS)), ids[doc]))
         if not held:
             return
-        anchor, span, left, right, ids = (np.concatenate(x) for x in zip(*held))
+        anchor, span, sides, ids = (np.concatenate(x) for x in zip(*held))
         del held
         order, group, settled = _settled(anchor, span, ids)
-        anchor, span, left, right, ids = (x[order] for x in (anchor, span, left, right, ids))
+        anchor, span, sides, ids = (x[order] for x in (anchor, span, sides, ids))
         first = np.flatnonzero(~settled)
-        open_ = np.zeros(len(first), bool)
-        for side in (left, right):
+        open_, target = np.zeros(len(first), bool), np.zeros(len(first), bool)
+        for side in sides.T:
             # The same bytes on this side of the same anchor, in different spans.
             has = np.flatnonzero(side[first] > 0)
-            key = np.lexsort((group[first[has]], side[first[has]], anchor[first[has]]))
-            r = first[has[key]]
+            has = has[np.lexsort((group[first[has]], side[first[has]], anchor[first[has]]))]
+            r = first[has]
             if not len(r):
                 continue
             new = np.ones(len(r), bool)
@@ -198,19 +215,16 @@ def _answer_spans(sent: DataFrame) -> DataFrame:
             bundle = np.cumsum(new) - 1
             other = new.copy()
             other[1:] |= group[r][1:] != group[r][:-1]
-            open_[has[key]] |= np.bincount(bundle, other)[bundle] >= 2
-        told: dict[int, list] = {}
-        for one, blob in _by_id(ids[settled], span[settled]):
-            told[one] = [blob, b""]
-        for one, blob in _by_id(ids[first[open_]], span[first[open_]]):
-            told.setdefault(one, [b"", b""])[1] = blob
-        if told:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(told), pa.int64()), pa.array([v[0] for v in told.values()], pa.binary()), pa.array([v[1] for v in told.values()], pa.binary())], names
-            )
+            shared = np.bincount(bundle, other)[bundle] >= 2
+            open_[has] |= shared
+            target[has] |= shared & (ids[r] > np.minimum.reduceat(ids[r], np.flatnonzero(new))[bundle])
+        kind = np.where(target, TARGET, OPEN).astype(np.uint64)
+        marks = np.concatenate([(span[settled] << np.uint64(2)) | np.uint64(SETTLED), (span[first] << np.uint64(2) | kind)[open_]])
+        who = np.concatenate([ids[settled], ids[first[open_]]])
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(marks.astype(np.int64))], names)
 
-    answers = sent.repartition("part").mapInArrow(run, "id long, settled binary, open binary")
-    return answers.groupBy("id").agg(F.collect_list("settled").alias("settled"), F.collect_list("open").alias("open"))
+    answers = sent.repartition("part").mapInArrow(run, "id long, mark long")
+    return answers.groupBy("id").agg(F.collect_set("mark").alias("marks"))
 
 
 def front_code(strings: list[bytes]) -> tuple[list[int], list[bytes]]:
@@ -293,7 +307,7 @@ _CUT = "kind int, part int, key long, text string, ranges binary, shared binary,
 
 
 def _cut_spans(documents: DataFrame, n_parts: int) -> DataFrame:
-    """Per document (kind 0) its text and settled ranges; per part (kind 1) a front-coded run of open suffixes."""
+    """Per document that may lose bytes (kind 0) its text and settled ranges; per part (kind 1) a front-coded run of open suffixes."""
     names = [c.split()[0] for c in _CUT.split(", ")]
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
@@ -316,12 +330,6 @@ def _cut_spans(documents: DataFrame, n_parts: int) -> DataFrame:
             })
         return batch_of(rows)
 
-    def codes(lists: list, bits: np.uint64) -> np.ndarray:
-        """Spans of all rows, each with its row's number in the upper bits."""
-        blobs = [b"".join(x) for x in lists]
-        owner = np.repeat(np.arange(len(blobs), dtype=np.uint64), [len(b) // 6 for b in blobs])
-        return _unsix(b"".join(blobs)) | owner << bits
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, open_ = Hasher(), []
         bits = np.uint64(48)
@@ -330,13 +338,19 @@ def _cut_spans(documents: DataFrame, n_parts: int) -> DataFrame:
                 for batch, texts in pieces(iter([whole.slice(at, 60_000)])):
                     a = Anchors(texts, hasher)
                     code = a.span | a.owner.astype(np.uint64) << bits
-                    settled = np.isin(code, codes(batch.column("settled").to_pylist(), bits))
-                    loose = np.flatnonzero(np.isin(code, codes(batch.column("open").to_pylist(), bits)) & ~settled)
+                    marks = batch.column("marks").flatten().to_numpy().astype(np.uint64)
+                    row = np.repeat(np.arange(len(batch)), batch.column("marks").value_lengths().to_numpy())
+                    kind, told = marks & np.uint64(3), marks >> np.uint64(2) | row.astype(np.uint64) << bits
+                    settled = np.isin(code, told[kind == SETTLED])
+                    loose = np.flatnonzero(np.isin(code, told[kind != SETTLED]) & ~settled)
+                    target = np.bincount(row[kind != OPEN], minlength=len(batch)) > 0
                     depth = np.bincount(a.lo[settled], minlength=len(texts.data) + 1) - np.bincount(a.hi[settled] + WIDTH, minlength=len(texts.data) + 1)
                     covered = np.cumsum(depth) > 0
                     ids, keys = batch.column("id").to_numpy(), batch.column("key").to_numpy()
                     rows = []
                     for i, text in enumerate(batch.column("text").to_pylist()):
+                        if not target[i]:
+                            continue
                         begin, end = texts.at[i], texts.at[i + 1]
                         edge = np.diff(np.concatenate([[False], covered[begin:end], [False]]).astype(np.int8))
                         ranges = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
@@ -447,8 +461,8 @@ def dedup(documents: DataFrame) -> DataFrame:
     rows = materialize(rows.join(least, "sha").withColumn("copy", F.col("id") > F.col("least")).drop("least"), "suffix-classes")
     own = rows.where("NOT copy AND n_bytes >= 50").select("id").distinct()
     answers = materialize(_answer_spans(_send_spans(docs, n_parts)).join(own, "id", "left_semi"), "suffix-answers")
-    told = docs.select("id", "key", "text").join(answers.hint("shuffle_hash"), "id")
-    cut = materialize(_cut_spans(told, n_parts), "suffix-runs")
+    told = keep_keys(docs.select("id", "key", "text"), answers.select("id"), "id").join(answers.hint("shuffle_hash"), "id")
+    cut = store_packed(_cut_spans(told, n_parts), "suffix-runs")
     texts = cut.where("kind = 0").select("key", "text", "ranges").join(_merge_open(cut), "key", "left")
     changed = _remove(texts).dropDuplicates(["key"])
     whole = F.col("copy") & (F.col("n_bytes") >= WIDTH)
