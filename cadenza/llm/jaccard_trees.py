@@ -16,10 +16,9 @@ class from the start.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +29,8 @@ from cadenza.llm.components import components
 from cadenza.session import materialize
 
 SHINGLE = 5
-#: Bits of a signature.
-BITS = 2048
+#: Bits of a signature for each shingle of the largest set of its band; bands of sizes grow by 4/3.
+BITS_EACH = 2
 #: Classes of one block, children of one tree node.
 BLOCK, FANOUT = 256, 8
 #: One document in so many is looked at to guess which shingles are frequent, and so many are remembered. This only
@@ -99,6 +98,42 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def bands(n: np.ndarray) -> np.ndarray:
+    """Size bands: linked sets are in one band or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(4 / 3) + 1e-9).astype(np.int64)
+
+
+def _widths(n: np.ndarray) -> np.ndarray:
+    """Signature bits by band: a power of two, 64 at least."""
+    largest = (4 / 3) ** (bands(n) + 1)
+    return 1 << np.maximum(6, np.ceil(np.log2(BITS_EACH * largest))).astype(np.int64)
+
+
+def _signatures(value: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> pa.Array:
+    """Bitmaps of the sets' shingles; null where not wanted."""
+    out: list[bytes | None] = []
+    for a, b, width, want in zip(at[:-1], at[1:], _widths(np.diff(at)).tolist(), wanted):
+        if want:
+            bits = np.zeros(width, np.uint8)
+            bits[(value[a:b] % np.uint64(width)).astype(np.int64)] = 1
+            out.append(np.packbits(bits).tobytes())
+        else:
+            out.append(None)
+    return pa.array(out, pa.binary())
+
+
+def _folded(sigs: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of fewer bits: halves laid over each other."""
+    while sigs.shape[1] > width:
+        half = sigs.shape[1] // 2
+        sigs = sigs[:, :half] | sigs[:, half:]
+    return sigs
+
+
+def _matrix(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), -1)
+
+
 def _frequent(documents: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
@@ -113,7 +148,7 @@ def _frequent(documents: DataFrame) -> np.ndarray:
 
 
 def _sets(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """One row per document: doc_id, key, n, class, prefix. A class seen before in the same piece has no prefix."""
+    """One row per document: doc_id, key, n, class, prefix, sig. A class seen before in the same piece has no prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
@@ -126,12 +161,12 @@ def _sets(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
             held = np.repeat(first, np.diff(cut))
             cut = np.concatenate([[0], np.cumsum(np.where(first, np.diff(cut), 0))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(cls, mask=n == 0), _lists(prefix[held], cut)],
-                ["doc_id", "key", "n", "cls", "prefix"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(cls, mask=n == 0), _lists(prefix[held], cut), _signatures(value, at, first)],
+                ["doc_id", "key", "n", "cls", "prefix", "sig"],
             )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, key long, n long, cls long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, n long, cls long, prefix array<long>, sig binary")
 
 
 def _stars(tokens: DataFrame) -> DataFrame:
@@ -165,34 +200,57 @@ def _stars(tokens: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "token long, centre long, centre_n long, cls long, n long")
 
 
-def _signature(value: np.ndarray, at: np.ndarray) -> list[bytes]:
-    out = []
-    bit = (value % np.uint64(BITS)).astype(np.int64)
-    for a, b in zip(at[:-1], at[1:]):
-        bits = np.zeros(BITS, np.uint8)
-        bits[bit[a:b]] = 1
-        out.append(np.packbits(bits).tobytes())
-    return out
-
-
 def _whole_sets(documents: DataFrame, keys: DataFrame) -> DataFrame:
-    """cls, n, tokens (all shingles), sig of the documents named by ``keys``."""
+    """cls, n and all shingles of the documents named by ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
         for _, texts in pieces(batches):
             value, at = shingles(texts, hasher)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_classes(value, at)), pa.array(np.diff(at)), _lists(value, at), pa.array(_signature(value, at), pa.binary())],
-                ["cls", "n", "tokens", "sig"],
+                [pa.array(_classes(value, at)), pa.array(np.diff(at)), _lists(value, at)], ["cls", "n", "tokens"]
             )
 
     rows = keep_keys(documents.select(row_key().alias("key"), "text"), keys, "key")
-    return rows.select("text").mapInArrow(run, "cls long, n long, tokens array<long>, sig binary")
+    return rows.select("text").mapInArrow(run, "cls long, n long, tokens array<long>")
+
+
+def _same_widths(a: list[int], b: list[int]) -> list[np.ndarray]:
+    """Rows by their two signature widths."""
+    both = np.array(a, np.int64) << 32 | np.array(b, np.int64)
+    return [np.flatnonzero(both == x) for x in np.unique(both)]
+
+
+def _may_pair(sig_a: np.ndarray, n_a: np.ndarray, sig_b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """may_link for sets in line, components unknown."""
+    width, i = min(sig_a.shape[1], sig_b.shape[1]), np.arange(len(n_a))
+    a, b = _folded(sig_a, width), _folded(sig_b, width)
+    return may_link((a, a, n_a, n_a, i, i), i, (b, b, n_b, n_b, i + len(i), i + len(i)), i)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b: classes) that sizes and bitmaps do not rule out."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            sig_a, sig_b = batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist()
+            keep = np.zeros(len(batch), bool)
+            for rows in _same_widths([len(x) for x in sig_a], [len(x) for x in sig_b]):
+                keep[rows] = _may_pair(_matrix([sig_a[i] for i in rows]), n_a[rows], _matrix([sig_b[i] for i in rows]), n_b[rows])
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    one = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(test, "a long, b long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b: classes) whose sets have 4 * intersection >= 3 * union."""
+def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Pairs (a, b: classes) whose sets have 4 * intersection >= 3 * union, counted shingle by shingle."""
+    pairs = materialize(pairs, "tree-asked")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    keys = materialize(classes.join(asked, "cls").select("key"), "tree-keys")
+    sets = materialize(_whole_sets(documents, keys).dropDuplicates(["cls"]), "tree-whole")
     one = sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
     two = sets.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
@@ -201,6 +259,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
+def _distinct_buckets(stars: DataFrame) -> DataFrame:
+    """Rows of one bucket among all with the same classes: its pairs are theirs."""
+    same = ["centre", "m", "x", "y"]
+    buckets = stars.groupBy("token", "centre").agg(
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")
+    )
+    return stars.join(buckets.groupBy(*same).agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
+
+
 class Tree:
     """Signature tree over one block: level 0 are the sets, each node above combines up to FANOUT nodes."""
 
@@ -255,43 +322,110 @@ def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return kids[kids < n], other[kids < n]
 
 
-def _tree_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs from members (token, cls, n, comp, sig) of buckets, block against block."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4.0 / 3.0)) + F.lit(1e-9)).cast("long")
-    members = members.withColumn("band", band)
-    sizes = members.groupBy("token", "band").agg(F.count("*").alias("m"))
-    dealt = members.join(sizes, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), 1 + F.floor(F.col("m") / BLOCK)))
-    blocks = materialize(
-        dealt.groupBy("token", "band", "block").agg(
-            F.collect_list(F.struct("n", "cls", "comp", "sig")).alias("sets"), F.min("comp").alias("first"), F.max("comp").alias("last")
-        ),
-        "tree-blocks",
-    )
-    left = blocks.select("token", "band", F.col("block").alias("block_a"), F.col("sets").alias("sets_a"), F.col("first").alias("first_a"), F.col("last").alias("last_a"))
-    # Sets of linked sizes are in one band or in neighbouring ones.
-    right = blocks.select("token", F.col("band").alias("band_b"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"),
-                          F.col("block").alias("block_b"), F.col("sets").alias("sets_b"), F.col("first").alias("first_b"), F.col("last").alias("last_b"))
-    met = left.join(right, ["token", "band"]).where(
-        ((F.col("band") != F.col("band_b")) | (F.col("block_a") <= F.col("block_b")))
-        & ~((F.col("first_a") == F.col("last_a")) & (F.col("first_b") == F.col("last_b")) & (F.col("first_a") == F.col("first_b")))
-    )
-    met = met.select("sets_a", "sets_b", ((F.col("band") == F.col("band_b")) & (F.col("block_a") == F.col("block_b"))).alias("same"))
+def _tree_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidate pairs from members (token, cls, n, comp) of buckets.
 
-    def plant(sets: list) -> tuple[Tree, np.ndarray]:
-        sets = sorted(sets, key=lambda s: (s["n"], s["cls"]))
-        n = np.array([s["n"] for s in sets], np.int64)
-        sigs = np.frombuffer(b"".join(s["sig"] for s in sets), np.uint64).reshape(len(sets), -1)
-        return Tree(n, sigs, np.array([s["comp"] for s in sets], np.int64)), np.array([s["cls"] for s in sets], np.int64)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for sets_a, sets_b, same in pdf.itertuples(index=False):
-                (a, cls_a), (b, cls_b) = plant(sets_a), plant(sets_b)
-                i, j = dual_traversal(a, b, same)
-                x, y = cls_a[i], cls_b[j]
-                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return met.mapInPandas(walk, "a long, b long").where("a != b").distinct()
+    A bucket of at most BLOCK sets is one row. A larger one is dealt into blocks of one size band each, and block meets
+    block, so that no task holds a whole large bucket.
+    """
+    members = materialize(members, "tree-members")
+    sig = classes.select("cls", "sig")
+    one = F.struct("n", "cls", "comp", "sig")
+    sizes = members.groupBy("token").agg(F.count("*").alias("m"))
+    small = members.join(sizes.where(F.col("m") <= BLOCK).select("token"), "token", "left_semi").join(sig, "cls")
+    whole = small.groupBy("token").agg(F.collect_list(one).alias("sets_a"))
+    found = whole.select("sets_a").mapInArrow(_each(_walk_bucket), "a long, b long")
+    large = materialize(sizes.where(F.col("m") > BLOCK).select("token"), "tree-large")
+    if not large.isEmpty():
+        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4.0 / 3.0)) + F.lit(1e-9)).cast("long")
+        dealt = members.join(large, "token", "left_semi").withColumn("band", band)
+        counts = dealt.groupBy("token", "band").agg(F.count("*").alias("m"))
+        dealt = dealt.join(counts, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), 1 + F.floor(F.col("m") / BLOCK)))
+        blocks = dealt.join(sig, "cls").groupBy("token", "band", "block").agg(F.collect_list(one).alias("sets"), F.min("comp").alias("first"), F.max("comp").alias("last"))
+        blocks = materialize(blocks, "tree-blocks")
+        left = blocks.select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("block", "sets", "first", "last")])
+        # Sets of linked sizes are in one band or in neighbouring ones.
+        right = blocks.withColumn("met", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+        right = right.select("token", F.col("met").alias("band"), F.col("band").alias("band_b"), *[F.col(c).alias(f"{c}_b") for c in ("block", "sets", "first", "last")])
+        settled = (F.col("first_a") == F.col("last_a")) & (F.col("first_b") == F.col("last_b")) & (F.col("first_a") == F.col("first_b"))
+        met = left.join(right, ["token", "band"]).where(((F.col("band") != F.col("band_b")) | (F.col("block_a") <= F.col("block_b"))) & ~settled)
+        same = (F.col("band") == F.col("band_b")) & (F.col("block_a") == F.col("block_b"))
+        found = found.union(met.select("sets_a", "sets_b", same.alias("same")).mapInArrow(_each(_walk_blocks), "a long, b long"))
+    return found.distinct()
+
+
+def _each(fn: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> Callable:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                x, y = fn(batch.slice(at, 2048))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return walk
+
+
+class Sets:
+    """Sets of a batch of lists, laid out flat; list ``k`` is ``at[k]:at[k] + length[k]``."""
+
+    def __init__(self, column: pa.Array):
+        flat = column.flatten()
+        self.n, self.cls, self.comp = (flat.field(c).to_numpy() for c in ("n", "cls", "comp"))
+        self.sig = flat.field("sig").to_pylist()
+        self.length = column.value_lengths().to_numpy()
+        self.at = np.cumsum(self.length) - self.length
+
+    def tree(self, rows: np.ndarray, width: int) -> tuple[Tree, np.ndarray]:
+        rows = rows[np.lexsort((self.cls[rows], self.n[rows]))]
+        return Tree(self.n[rows], _folded(_matrix([self.sig[i] for i in rows]), width), self.comp[rows]), self.cls[rows]
+
+    def width(self, rows: np.ndarray) -> int:
+        return min(len(self.sig[i]) for i in rows) // 8
+
+
+def _join(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *[f[q] for f in found]]) for q in (0, 1))
+
+
+def _meet(a: Sets, rows_a: np.ndarray, b: Sets, rows_b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    width = min(a.width(rows_a), b.width(rows_b))
+    (one, cls_a), (two, cls_b) = a.tree(rows_a, width), b.tree(rows_b, width)
+    x, y = dual_traversal(one, two, same)
+    return cls_a[x], cls_b[y]
+
+
+def _walk_blocks(met: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    a, b = Sets(met.column("sets_a")), Sets(met.column("sets_b"))
+    same = met.column("same").to_pylist()
+    return _join([_meet(a, a.at[k] + np.arange(a.length[k]), b, b.at[k] + np.arange(b.length[k]), same[k]) for k in range(len(met))])
+
+
+def _walk_bucket(whole: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Whole buckets. Those that fit one tree node are tested together, larger ones walk a tree per size band."""
+    s, found = Sets(whole.column("sets_a")), []
+    few = np.flatnonzero(s.length <= 2 * FANOUT)
+    count = s.length[few] ** 2
+    block = np.repeat(few, count)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    i, j = s.at[block] + nth // s.length[block], s.at[block] + nth % s.length[block]
+    fits = (i < j) & (s.comp[i] != s.comp[j]) & (4 * np.minimum(s.n[i], s.n[j]) >= 3 * np.maximum(s.n[i], s.n[j]))
+    i, j = i[fits], j[fits]
+    _, first = np.unique(np.stack([s.cls[i], s.cls[j]], axis=1), axis=0, return_index=True) if len(i) else (None, np.zeros(0, np.int64))
+    i, j = i[first], j[first]
+    for rows in _same_widths([len(s.sig[x]) for x in i], [len(s.sig[x]) for x in j]):
+        for at in range(0, len(rows), 4096):
+            p, q = i[rows[at : at + 4096]], j[rows[at : at + 4096]]
+            ok = _may_pair(_matrix([s.sig[x] for x in p]), s.n[p], _matrix([s.sig[x] for x in q]), s.n[q])
+            found.append((s.cls[p[ok]], s.cls[q[ok]]))
+    for k in np.flatnonzero(s.length > 2 * FANOUT):
+        rows = s.at[k] + np.arange(s.length[k])
+        band = bands(s.n[rows])
+        for low in np.unique(band):
+            own, next_ = rows[band == low], rows[band == low + 1]
+            found.append(_meet(s, own, s, own, True))
+            if len(next_):
+                found.append(_meet(s, own, s, next_, False))
+    return _join(found)
 
 
 def join(documents: DataFrame) -> DataFrame:
@@ -325,28 +459,26 @@ def keep_one(documents: DataFrame) -> DataFrame:
 def _joined(documents: DataFrame, names: bool = False) -> DataFrame:
     """join, with key and root too where ``names`` is set."""
     docs = materialize(_sets(documents, _frequent(documents)), "tree-sets")
-    classes = docs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"))
+    classes = docs.where("n > 0").groupBy("cls").agg(
+        F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("n").alias("n"), F.first("sig", ignorenulls=True).alias("sig")
+    )
+    classes = materialize(classes, "tree-classes")
     tokens = docs.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "cls", "n")
     stars = materialize(_stars(tokens), "tree-stars")
     small, large = F.least("n", "centre_n"), F.greatest("n", "centre_n")
-    pairs = materialize(
-        stars.groupBy(F.col("centre").alias("a"), F.col("cls").alias("b")).agg(F.max((4 * small >= 3 * large).cast("int")).alias("fits")), "tree-pairs"
-    )
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    keys = materialize(classes.join(asked, "cls").select("key"), "tree-keys")
-    sets = materialize(_whole_sets(documents, keys).dropDuplicates(["cls"]), "tree-whole")
-    first = materialize(_linked(pairs.where("fits = 1").select("a", "b"), sets), "tree-links")
+    pairs = stars.groupBy(F.col("centre").alias("a"), F.col("cls").alias("b")).agg(F.max((4 * small >= 3 * large).cast("int")).alias("fits"))
+    pairs = materialize(pairs, "tree-pairs")
+    first = materialize(_linked(_possible(pairs.where("fits = 1").select("a", "b"), classes), classes, documents), "tree-links")
     roots = components(first)
     unlinked = pairs.select("a", "b").exceptAll(first)
-    edges = first
     if not unlinked.isEmpty():
         loose = stars.join(unlinked.select(F.col("a").alias("centre"), F.col("b").alias("cls")), ["centre", "cls"], "left_semi").select("token").distinct()
-        open_ = materialize(stars.join(loose, "token", "left_semi"), "tree-open")
+        open_ = materialize(_distinct_buckets(stars.join(loose, "token", "left_semi")), "tree-open")
         members = open_.select("token", "cls").union(open_.select("token", F.col("centre").alias("cls"))).distinct()
-        members = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(sets.select("cls", "n", "sig"), "cls")
-        members = members.select("token", "cls", "n", F.coalesce("root", "cls").alias("comp"), "sig")
-        edges = first.union(_linked(_tree_pairs(members).exceptAll(unlinked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), sets))
-        roots = components(edges)
+        members = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(classes.select("cls", "n"), "cls")
+        members = members.select("token", "cls", "n", F.coalesce("root", "cls").alias("comp"))
+        more = _linked(_tree_pairs(members, classes).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), classes, documents)
+        roots = components(first.union(materialize(more, "tree-more")))
     named = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     named = materialize(named.select("cls", "least", F.coalesce("root", "cls").alias("root")), "tree-roots")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
