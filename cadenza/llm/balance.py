@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import row_key, text_or_empty
+from cadenza.llm.common import row_key, text_or_empty, unused
 from cadenza.session import materialize
 
 MOST_COPIES = 3
@@ -121,10 +121,11 @@ def repeat(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFram
 
     Rows that repeat both id and text share their copies evenly, the rest of that division left out.
     """
-    copies = _mixed(documents, weights).groupBy(F.col("key").alias("_key")).agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias("_copies"))
-    copies = materialize(copies.where("_copies > 0"), "mix-copies")
-    taken = documents.withColumn("_key", row_key()).join(copies.hint("shuffle_hash"), "_key")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(documents.columns)
+    key, times = unused(documents, "_key"), unused(documents, "_copies")
+    copies = _mixed(documents, weights).groupBy(F.col("key").alias(key)).agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias(times))
+    copies = materialize(copies.where(F.col(times) > 0), "mix-copies")
+    taken = documents.withColumn(key, row_key()).join(copies.hint("shuffle_hash"), key)
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(documents.columns)
 
 
 def _mixed(documents: DataFrame, weights: tuple[int, ...]) -> DataFrame:

@@ -35,6 +35,13 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), text_or_empty())
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    while name in rows.columns:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``."""
     return F.crc32(F.col(doc_id).cast("string")) % n

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Hasher, Texts, mix, pieces, text_or_empty
+from cadenza.llm.common import Hasher, Texts, mix, pieces, text_or_empty, unused
 from cadenza.session import materialize
 
 PIECE_WORDS = 64
@@ -362,13 +362,14 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item."""
     all_indexes = indexes(documents, benchmark)
+    name = unused(documents, "_folded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finders = [Finder(index) for index in all_indexes]
-        for batch, texts in pieces(batches, "_folded"):
+        for batch, texts in pieces(batches, name):
             keep = np.ones(texts.n, bool)
             for finder in finders:
                 keep[[text for text, *_ in finder.find(texts)]] = False
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
 
-    return documents.select("*", folded().alias("_folded")).mapInArrow(run, documents.schema)
+    return documents.select("*", folded().alias(name)).mapInArrow(run, documents.schema)

@@ -14,6 +14,10 @@ from cadenza.operators.numbering import number_rows
 BITS = 6
 
 
+#: Columns of the result; carried columns of these names give way to them.
+OUT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve", "lang", "source")
+
+
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Curve index of grid cells (rows of coordinates below 2**bits)."""
     x = np.array(cells, np.int64).T.copy()
@@ -63,7 +67,7 @@ def shard(documents: DataFrame, n_shards: int = 16, carry: list[str] | None = No
     CRC of no bytes; null lang and source are the lowest cells; a null doc_id comes first. Tables smaller
     than ``n_shards`` leave shards empty; an empty table gives no rows.
     """
-    carry = [c for c in carry or [] if c not in ("doc_id", "lang", "source")]
+    carry = [c for c in carry or [] if c not in OUT]
     text = text_or_empty()
     rows = documents.select(
         "doc_id", "lang", "source", (F.octet_length(text).cast("long") + 1).alias("_size"), F.crc32(text).alias("_crc"),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Hasher, Texts, drop_keys, keep_keys, pieces, row_key, words
+from cadenza.llm.common import Hasher, Texts, drop_keys, keep_keys, pieces, row_key, unused, words
 from cadenza.llm.common import mix as scramble
 from cadenza.llm.components import components
 from cadenza.session import materialize
@@ -448,11 +448,12 @@ def keep_one(documents: DataFrame) -> DataFrame:
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     stays = rows.groupBy("root").agg(best.alias("best"))
     told = rows.select("root", "key").distinct().join(stays, "root")
-    losers = materialize(told.where(F.col("key") != F.col("best.key")).select(F.col("key").alias("_key")).distinct(), "tree-losers")
-    repeated = materialize(rows.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key"), "tree-repeated")
-    kept = drop_keys(documents.withColumn("_key", row_key()), losers, "_key")
+    name = unused(documents, "_key")
+    losers = materialize(told.where(F.col("key") != F.col("best.key")).select(F.col("key").alias(name)).distinct(), "tree-losers")
+    repeated = materialize(rows.groupBy(F.col("key").alias(name)).agg(F.count("*").alias("n")).where("n > 1").select(name), "tree-repeated")
+    kept = drop_keys(documents.withColumn(name, row_key()), losers, name)
     if not repeated.isEmpty():
-        kept = drop_keys(kept, repeated, "_key").unionByName(keep_keys(kept, repeated, "_key").dropDuplicates(["_key"]))
+        kept = drop_keys(kept, repeated, name).unionByName(keep_keys(kept, repeated, name).dropDuplicates([name]))
     return kept.select(documents.columns)
 
 

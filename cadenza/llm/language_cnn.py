@@ -23,7 +23,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: About so many documents of each language are fitted on, and so many windows of each at most.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 500, 10
-EPOCHS, BATCH = 4, 128
+EPOCHS, BATCH, LEAST_STEPS = 4, 128, 300
 #: Least probability at which a text counts as recognised.
 LEAST = 0.4
 #: Windows scored at once.
@@ -80,7 +80,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 7) -> Netw
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     weight = len(y) / (len(langs) * np.maximum(np.bincount(y, minlength=len(langs)), 1))
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(y) // BATCH)))):
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
             rows = order[at : at + BATCH]
