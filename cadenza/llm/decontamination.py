@@ -2,9 +2,10 @@
 
 Items are cut into pieces of at most PIECE_WORDS words. Over the words of the items, TF-IDF rows of the pieces and of a
 sample of the corpus's passages go through a randomised SVD: Spark sums the products of its passes, the driver
-orthogonalises them. Every document is then covered by overlapping windows; a window whose words outside the items
-already rule out the cosine asked for is dropped by that bound, the others are folded into the latent space and
-compared with all pieces. A candidate counts when the longest common subsequence of words covers most
+orthogonalises them. Every document is then covered by overlapping windows. Two bounds, both differences of running
+sums, drop windows that cannot reach the cosine asked for: their words outside the items, and the most that
+each word can add to the cosine with any piece. The others are folded into the latent space and compared with
+all pieces. A candidate counts when the longest common subsequence of words covers most
 of the piece, or half of it together with the item's answer, its last sentence.
 """
 
@@ -83,9 +84,12 @@ def _passage_counts(documents: DataFrame) -> tuple[int, np.ndarray]:
         for _, texts in pieces(batches):
             hashes, at = hashed_words(texts, hasher)
             first, end, _ = spans(at, PIECE_WORDS, PIECE_WORDS)
-            passage = np.repeat(np.arange(len(first)), end - first)
-            both = np.unique(passage * CELLS + cells(hashes))
-            seen += np.bincount(both % CELLS, minlength=CELLS)
+            grid = np.full((len(first), PIECE_WORDS), CELLS, np.int32)  # one passage a row; CELLS where it is short
+            grid[np.arange(PIECE_WORDS) < (end - first)[:, None]] = cells(hashes)
+            grid.sort(axis=1)
+            fresh = np.ones(grid.shape, bool)
+            fresh[:, 1:] = grid[:, 1:] != grid[:, :-1]
+            seen += np.bincount(grid[fresh], minlength=CELLS + 1)[:CELLS]
             n += len(first)
         parts = [seen[i : i + SLICE].tobytes() for i in range(0, CELLS, SLICE)]
         yield pa.RecordBatch.from_arrays(
@@ -151,6 +155,7 @@ class Index:
     idf: np.ndarray  # by cell
     basis: np.ndarray  # word of the vocabulary, dimension
     coordinates: np.ndarray  # piece, dimension; unit TF-IDF rows folded in
+    reach: np.ndarray  # word of the vocabulary: the most that one occurrence adds to a piece's product; then 0
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
@@ -237,7 +242,7 @@ def build(documents: DataFrame, some: list[Piece], n_passages: int, seen: np.nda
     vocabulary = np.unique(np.concatenate([p.words for p in some]))
     size = len(vocabulary)
     rank = min(len(some) + MORE_DIMENSIONS, size)
-    index = Index(some, vocabulary, idf, np.zeros((size, 1), np.float32), np.zeros((len(some), 1), np.float32))
+    index = Index(some, vocabulary, idf, np.zeros((size, 1), np.float32), np.zeros((len(some), 1), np.float32), np.zeros(size + 1))
     hashes = np.concatenate([p.words for p in some])
     end = np.cumsum([len(p.words) for p in some])
     first = end - [len(p.words) for p in some]
@@ -258,6 +263,8 @@ def build(documents: DataFrame, some: list[Piece], n_passages: int, seen: np.nda
     value, vector = np.linalg.eigh((q.T @ product + product.T @ q) / 2)
     index.basis = np.ascontiguousarray((q @ vector[:, np.argsort(-value)[:rank]]).astype(np.float32))
     index.coordinates = fold(index, row, word, weight, len(some))
+    best = np.maximum((index.basis @ index.coordinates.T).max(axis=1), 0)
+    index.reach[:size] = best * idf[cells(vocabulary)]
     return index
 
 
@@ -285,10 +292,13 @@ class Finder:
         energy = index.idf[cells(hashes)].astype(np.float64) ** 2
         known = np.concatenate([[0.0], np.cumsum(np.where(places >= 0, energy, 0.0))])
         total = np.concatenate([[0.0], np.cumsum(energy)])
+        most = np.concatenate([[0.0], np.cumsum(index.reach[places])])  # place -1 is the 0 at the end
         for length, step in COVERS:
             first, end, owner = spans(at, length, step)
             norm = total[end] - total[first]
-            open_ = np.flatnonzero(known[end] - known[first] >= COSINE**2 * norm)
+            # Repeats weigh less than their number, so the sum of reaches is no smaller than any product; 0.999 for rounding.
+            reachable = most[end] - most[first] >= 0.999 * COSINE * np.sqrt(norm)
+            open_ = np.flatnonzero((known[end] - known[first] >= COSINE**2 * norm) & reachable)
             for a in range(0, len(open_), 4096):
                 rows = open_[a : a + 4096]
                 row, word, weight = rows_of(index, hashes, places, first[rows], end[rows])
