@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import text_or_empty
+from cadenza.llm.common import BROADCAST_KEYS, text_or_empty
 from cadenza.operators.numbering import number_rows
 
 #: Bits per dimension; three dimensions make an index below 2**18.
@@ -46,11 +46,16 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _codes(df: DataFrame, column: str) -> DataFrame:
-    """Each value's cell, by its place among the distinct values in code-point order; null comes first."""
+def _cells(df: DataFrame, column: str) -> DataFrame:
+    """Each value's cell, by its place among the distinct values in code-point order; null comes first.
+
+    Sent to every executor up to BROADCAST_KEYS values, counted first.
+    """
     values = df.select(F.col(column).alias("_value")).distinct()
     ranked = number_rows(values, [F.col("_value").asc_nulls_first()], "_rank")
-    return ranked.select("_value", (F.col("_rank") - 1).alias("_rank"))
+    total = ranked.count()
+    cells = ranked.select("_value", F.floor((F.col("_rank") - 1) * (1 << BITS) / F.lit(max(total, 1))).cast("long").alias(f"_{column}"))
+    return F.broadcast(cells) if total <= BROADCAST_KEYS else cells
 
 
 def _size_cell(size: Column) -> Column:
@@ -74,12 +79,7 @@ def shard(documents: DataFrame, n_shards: int = 16, carry: list[str] | None = No
         *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
     for column in ("lang", "source"):
-        codes = _codes(documents, column)
-        top = codes.agg((F.max("_rank") + 1).alias("_all"))
-        cells = codes.crossJoin(F.broadcast(top)).select(  # one row on the right
-            "_value", F.floor(F.col("_rank") * (1 << BITS) / F.col("_all")).cast("long").alias(f"_{column}")
-        )
-        rows = rows.join(cells, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
+        rows = rows.join(_cells(documents, column), F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
 
     @F.pandas_udf("long")
     def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
