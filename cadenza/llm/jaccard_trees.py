@@ -6,8 +6,9 @@ buckets of these shingles (frequent shingles come last in the order, to keep buc
 class from the start.
 
 1. In every bucket each class is compared with the bucket's lowest class. Whoever links with it needs no further
-   comparison with others that do: all of them are in one component. Families of near copies end here.
-2. Buckets in which someone did not link become forests of signature trees: blocks of similar size, in
+   comparison with others that do: all of them are in one component. Families of near copies end here. In buckets
+   where someone did not link, a few turns repeat this with two other centres each, against other components only.
+2. Buckets that still hold several components become forests of signature trees: blocks of similar size, in
    them nodes holding OR- and AND-combined shingle bitmaps and size ranges. A dual traversal of two blocks drops node
    pairs whose largest possible overlap is too small, and pairs known to be in one component; what is left
    is compared set by set.
@@ -33,6 +34,8 @@ SHINGLE = 5
 BITS_EACH = 2
 #: Classes of one block, children of one tree node.
 BLOCK, FANOUT = 256, 8
+#: Turns with new centres before the trees. They only save the trees work; any number gives the same components.
+TURNS = 3
 #: One document in so many is looked at to guess which shingles are frequent, and so many are remembered. This only
 #: orders shingles; any order gives the same links.
 GUESS_EVERY, GUESS_KEEP = 16, 100_000
@@ -323,12 +326,11 @@ def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 
 def _tree_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs from members (token, cls, n, comp) of buckets.
+    """Candidate pairs from members (token, cls, n, comp; already written) of buckets.
 
     A bucket of at most BLOCK sets is one row. A larger one is dealt into blocks of one size band each, and block meets
     block, so that no task holds a whole large bucket.
     """
-    members = materialize(members, "tree-members")
     sig = classes.select("cls", "sig")
     one = F.struct("n", "cls", "comp", "sig")
     sizes = members.groupBy("token").agg(F.count("*").alias("m"))
@@ -428,6 +430,33 @@ def _walk_bucket(whole: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return _join(found)
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (token, cls, n) with their component, of buckets that hold more than one."""
+    told = members.join(roots.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls")
+    several = told.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last")
+    return materialize(told.join(several.select("token"), "token", "left_semi"), "tree-open-members")
+
+
+def _centred(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each bucket's two centres of a turn with the classes of other components, sizes permitting.
+
+    The centres are those with the smallest and the largest hash, so that buckets of the same classes agree on them.
+    """
+    one = F.struct(F.xxhash64("cls", F.lit(turn)).alias("hash"), "cls", "n", "comp")
+    centres = members.groupBy("token").agg(F.array(F.min(one), F.max(one)).alias("centres"))
+    met = members.join(centres, "token").withColumn("c", F.explode("centres"))
+    sizes = 4 * F.least("n", "c.n") >= 3 * F.greatest("n", "c.n")
+    return met.where((F.col("comp") != F.col("c.comp")) & sizes).select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots (node, root) once links between the nodes are added; only links between components count."""
+    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    between = links.join(a, "a").join(b, "b").where("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    up = components(between.distinct()).select(F.col("node").alias("root"), F.col("root").alias("up"))
+    return materialize(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "tree-merged")
+
+
 def join(documents: DataFrame) -> DataFrame:
     """Returns doc_id, n_shingles, component_id, one row per input row.
 
@@ -476,10 +505,18 @@ def _joined(documents: DataFrame, names: bool = False) -> DataFrame:
         loose = stars.join(unlinked.select(F.col("a").alias("centre"), F.col("b").alias("cls")), ["centre", "cls"], "left_semi").select("token").distinct()
         open_ = materialize(_distinct_buckets(stars.join(loose, "token", "left_semi")), "tree-open")
         members = open_.select("token", "cls").union(open_.select("token", F.col("centre").alias("cls"))).distinct()
-        members = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(classes.select("cls", "n"), "cls")
-        members = members.select("token", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-        more = _linked(_tree_pairs(members, classes).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), classes, documents)
-        roots = components(first.union(materialize(more, "tree-more")))
+        members = materialize(members.join(classes.select("cls", "n"), "cls"), "tree-members")
+        single = members.select(F.col("cls").alias("node")).distinct()
+        roots = materialize(single.join(roots, "node", "full").select("node", F.coalesce("root", "node").alias("root")), "tree-merged")
+        tested = pairs.select("a", "b")
+        for turn in range(TURNS):
+            asked = materialize(_centred(_open(members, roots), turn).join(tested, ["a", "b"], "left_anti"), "tree-turn")
+            if asked.isEmpty():
+                break
+            tested = tested.union(asked)
+            roots = _merged(roots, materialize(_linked(_possible(asked, classes), classes, documents), "tree-links"))
+        more = _linked(_tree_pairs(_open(members, roots), classes).join(tested, ["a", "b"], "left_anti"), classes, documents)
+        roots = _merged(roots, materialize(more, "tree-more"))
     named = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     named = materialize(named.select("cls", "least", F.coalesce("root", "cls").alias("root")), "tree-roots")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
