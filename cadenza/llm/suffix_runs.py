@@ -4,19 +4,22 @@ Suffixes are taken at anchors: of each WIDTH-byte window the place of its smalle
 anchor at the same place, so a window can only recur where its anchor's K bytes do. All windows with one anchor lie in
 one stretch of text, the anchor's span.
 
-1. Spans meet by their anchor's hash. A span that a smaller document holds whole is settled. Where only the anchor and
-   the bytes around it that some of its windows have in common recur, the span is open. Tasks settle what they hold
-   themselves first, and send each span once.
-2. Open spans are exchanged as runs: suffixes from the anchor on, sorted and front-coded (the length of the prefix
-   shared with the suffix before, then the rest). A loser tree merges the runs of all tasks; it compares two suffixes
+1. Spans meet by their anchor's hash; those of an anchor that a sample shows to be crowded meet by anchor and side, a
+   side being the bytes around the anchor that a group of windows has in common. A span that a smaller document holds
+   whole is settled. Where only the anchor and a side recur, the span is open on that side. Tasks settle what they
+   hold themselves first, and send each span once, of a crowded anchor once per side.
+2. Open spans are exchanged by anchor and side, as runs: suffixes from the side on, cut to the windows of its group,
+   sorted and front-coded (the length of the prefix shared with the suffix before, then the rest). Of a side with very
+   many spans the windows are exchanged one by one. A loser tree merges the runs of all tasks; it compares two suffixes
    only from the first byte on that is not known to be equal, and hands on the length of the common prefix.
-   Neighbours with K bytes in common have the same anchor; their windows are compared there.
+   Neighbours with SIDE bytes in common may have the same side; their windows are compared there.
 3. Each document's settled stretches are cut out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +27,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Hasher, Texts, keep_keys, pieces, row_key, store_packed, text_or_empty
+from cadenza.llm.common import Hasher, Texts, keep_keys, mix, pieces, row_key, store_packed, text_or_empty
 from cadenza.session import materialize
 
 WIDTH, K = 50, 20
 #: Windows of one anchor by how many bytes of them lie left of it, in groups (least, most). The windows of a group share
 #: the bytes from ``least`` left of the anchor to the end of the window that begins ``most`` left of it.
 GROUPS = [(a, min(a + 7, WIDTH - K)) for a in range(0, WIDTH - K + 1, 8)]
+#: Bytes that all windows of a group share, at least.
+SIDE = min(WIDTH - most + least for least, most in GROUPS)
+#: Distinct spans from which on an anchor's spans are dealt by their sides, and a side's windows one by one.
+CROWDED, WIDE = 100_000, 20_000
+#: One document in so many is looked at for crowded anchors, and the least spans of such an anchor that a task reports.
+SAMPLE, REPORTED = 16, 4
 #: Bytes of text whose anchors one part of an exchange takes, on average.
 PART_BYTES = 8 << 20
 #: Anchors, and open spans, that a task holds before it sends them.
@@ -38,6 +47,7 @@ HELD, HELD_OPEN = 300_000, 100_000
 #: Kinds of an answer: held whole by a smaller id; open, for larger ids to compare with; open, for a smaller id.
 SETTLED, OPEN, TARGET = 0, 1, 2
 _LOW = np.uint64((1 << 48) - 1)
+_MARK_BITS = np.uint64(2 + 2 * len(GROUPS))
 
 
 def _lowest(values: np.ndarray, width: int) -> np.ndarray:
@@ -80,12 +90,12 @@ class Anchors:
                 self.owner = texts.owner(self.lo)
         self.anchor = (hashes[self.p] >> np.uint64(16)) & _LOW if len(self.p) else np.zeros(0, np.uint64)
         self.span = hasher.stretches(sums, self.lo, self.hi + WIDTH) >> np.uint64(16)
-        # One byte per group: 0 where no window is of the group, else a hash of what its windows share.
-        self.sides = np.zeros((len(self.p), len(GROUPS)), np.uint8)
+        # Three bytes per group: 0 where no window is of the group, else a hash of what its windows share.
+        self.sides = np.zeros((len(self.p), len(GROUPS)), np.uint32)
         for g, (least, most) in enumerate(GROUPS):
             has = np.flatnonzero((self.lo <= self.p - least) & (self.hi >= self.p - most))
             shared = hasher.stretches(sums, self.p[has] - least, self.p[has] - most + WIDTH)
-            self.sides[has, g] = 1 + shared % np.uint64(255)
+            self.sides[has, g] = 1 + shared % np.uint64((1 << 24) - 1)
 
 
 def _six(values: np.ndarray) -> bytes:
@@ -100,6 +110,27 @@ def _unsix(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _pack_sides(sides: np.ndarray) -> bytes:
+    """A byte per row that says which sides it has, then those in three bytes each."""
+    has = sides > 0
+    some = sides[has].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return np.packbits(has, axis=1, bitorder="little").tobytes() + some.tobytes()
+
+
+def _unpack_sides(blob: bytes, n: int) -> np.ndarray:
+    has = np.unpackbits(np.frombuffer(blob[:n], np.uint8)[:, None], axis=1, count=len(GROUPS), bitorder="little").astype(bool)
+    raw = np.zeros((int(has.sum()), 4), np.uint8)
+    raw[:, :3] = np.frombuffer(blob[n:], np.uint8).reshape(-1, 3)
+    sides = np.zeros(has.shape, np.uint32)
+    sides[has] = raw.view("<u4").ravel()
+    return sides
+
+
+def _dealt(anchor: np.ndarray, sides: np.ndarray, g: int, n_parts: int) -> np.ndarray:
+    """The part where spans with this anchor and this side of group ``g`` meet."""
+    return (mix(anchor ^ mix(sides[:, g].astype(np.uint64) << np.uint64(8) | np.uint64(g))) % np.uint64(n_parts)).astype(np.int64)
+
+
 def _gaps(ids: np.ndarray) -> bytes:
     """Ascending ids: the first, then the gaps, in as few bytes each as the widest gap needs."""
     gaps = np.diff(ids.view(np.uint64))
@@ -134,8 +165,34 @@ def _by_id(ids: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, bytes]]:
 _SENT = "part int, id long, anchor binary, span binary, sides binary, doc binary, ids binary"
 
 
-def _send_spans(documents: DataFrame, n_parts: int) -> DataFrame:
-    """Rows for the exchange by anchor; rows with an id are spans already settled inside a task."""
+def _crowded(documents: DataFrame, sample: int, least: int) -> np.ndarray:
+    """Anchors with about ``least`` distinct spans or more, judged by one document in ``sample``. Only the dealing depends on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counts() -> pa.RecordBatch:
+            anchor, span = (np.concatenate(x) for x in zip(*held))
+            some, n = np.unique(anchor[np.unique(span, return_index=True)[1]], return_counts=True)
+            some, n = some[n >= REPORTED], n[n >= REPORTED]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(n)], ["anchor", "n"])
+
+        hasher, held, count = Hasher(), [], 0
+        for _, texts in pieces(batches):
+            a = Anchors(texts, hasher)
+            held.append((a.anchor, a.span))
+            count += len(a.p)
+            if count >= HELD:
+                yield counts()
+                held, count = [], 0
+        if held:
+            yield counts()
+
+    some = documents.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(sample)) == 0).select("text")
+    found = some.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * sample >= least)
+    return np.array(sorted(row["anchor"] for row in found.collect()), np.uint64)
+
+
+def _send_spans(documents: DataFrame, n_parts: int, crowded: np.ndarray) -> DataFrame:
+    """Rows for the exchange by anchor, or by anchor and side; rows with an id are spans already settled inside a task."""
 
     def rows(held: list[tuple]) -> pa.RecordBatch:
         out: dict[str, list] = {c.split()[0]: [] for c in _SENT.split(", ")}
@@ -147,13 +204,24 @@ def _send_spans(documents: DataFrame, n_parts: int) -> DataFrame:
                 out[name].append(value)
         anchor, span, sides, ids = (x[~settled] for x in (anchor, span, sides, ids))
         part = (anchor % np.uint64(n_parts)).astype(np.int64)
+        hot = np.isin(anchor, crowded)
+        if hot.any():
+            # Once per side, with that side alone: equal spans and equal sides still meet.
+            parts, picked, alone = [part[~hot]], [np.flatnonzero(~hot)], [sides[~hot]]
+            for g in range(len(GROUPS)):
+                has = np.flatnonzero(hot & (sides[:, g] > 0))
+                parts.append(_dealt(anchor[has], sides[has], g, n_parts))
+                picked.append(has)
+                alone.append(np.where(np.arange(len(GROUPS)) == g, sides[has], 0).astype(np.uint32))
+            part, picked, sides = np.concatenate(parts), np.concatenate(picked), np.concatenate(alone)
+            anchor, span, ids = anchor[picked], span[picked], ids[picked]
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(n_parts + 1))
         for i in range(n_parts):
             r = order[cut[i] : cut[i + 1]]
             if len(r):
                 some, doc = np.unique(ids[r], return_inverse=True)
-                values = (i, None, _six(anchor[r]), _six(span[r]), sides[r].tobytes(), doc.astype(np.uint32 if len(some) > 65535 else np.uint16).tobytes(), _gaps(some))
+                values = (i, None, _six(anchor[r]), _six(span[r]), _pack_sides(sides[r]), doc.astype(np.uint32 if len(some) > 65535 else np.uint16).tobytes(), _gaps(some))
                 for name, value in zip(out, values):
                     out[name].append(value)
         types = {"part": pa.int32(), "id": pa.int64()}
@@ -181,20 +249,23 @@ def _send_spans(documents: DataFrame, n_parts: int) -> DataFrame:
     return documents.select("id", F.xxhash64("text").alias("same"), "text").mapInArrow(run, _SENT)
 
 
-def _answer_spans(sent: DataFrame) -> DataFrame:
-    """For each id the spans that a smaller id holds whole, and the open spans: hash and kind in one number."""
+def _answer_spans(sent: DataFrame, wide: int) -> DataFrame:
+    """For each id the spans that a smaller id holds whole, and the open spans.
+
+    One number: the hash in 48 bits, a bit per group that is to go window by window, a bit per open group, the kind.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "mark"]
         held = []
         for batch in batches:
             for row in batch.filter(batch.column("id").is_valid()).select(["id", "span"]).to_pylist():
-                marks = _unsix(row["span"]) << np.uint64(2)
+                marks = _unsix(row["span"]) << _MARK_BITS
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(marks), row["id"])), pa.array(marks.astype(np.int64))], names)
             for row in batch.filter(batch.column("id").is_null()).to_pylist():
                 ids = _ungaps(row["ids"])
                 doc = np.frombuffer(row["doc"], np.uint32 if len(ids) > 65535 else np.uint16)
-                held.append((_unsix(row["anchor"]), _unsix(row["span"]), np.frombuffer(row["sides"], np.uint8).reshape(-1, len(GROUPS)), ids[doc]))
+                held.append((_unsix(row["anchor"]), _unsix(row["span"]), _unpack_sides(row["sides"], len(doc)), ids[doc]))
         if not held:
             return
         anchor, span, sides, ids = (np.concatenate(x) for x in zip(*held))
@@ -202,8 +273,8 @@ def _answer_spans(sent: DataFrame) -> DataFrame:
         order, group, settled = _settled(anchor, span, ids)
         anchor, span, sides, ids = (x[order] for x in (anchor, span, sides, ids))
         first = np.flatnonzero(~settled)
-        open_, target = np.zeros(len(first), bool), np.zeros(len(first), bool)
-        for side in sides.T:
+        open_, target = np.zeros(len(first), np.uint64), np.zeros(len(first), bool)
+        for g, side in enumerate(sides.T):
             # The same bytes on this side of the same anchor, in different spans.
             has = np.flatnonzero(side[first] > 0)
             has = has[np.lexsort((group[first[has]], side[first[has]], anchor[first[has]]))]
@@ -215,12 +286,14 @@ def _answer_spans(sent: DataFrame) -> DataFrame:
             bundle = np.cumsum(new) - 1
             other = new.copy()
             other[1:] |= group[r][1:] != group[r][:-1]
-            shared = np.bincount(bundle, other)[bundle] >= 2
-            open_[has] |= shared
+            n_spans = np.bincount(bundle, other)[bundle]
+            shared = n_spans >= 2
+            open_[has] |= shared.astype(np.uint64) << np.uint64(2 + g)
+            open_[has] |= (n_spans >= max(2, wide)).astype(np.uint64) << np.uint64(2 + len(GROUPS) + g)
             target[has] |= shared & (ids[r] > np.minimum.reduceat(ids[r], np.flatnonzero(new))[bundle])
         kind = np.where(target, TARGET, OPEN).astype(np.uint64)
-        marks = np.concatenate([(span[settled] << np.uint64(2)) | np.uint64(SETTLED), (span[first] << np.uint64(2) | kind)[open_]])
-        who = np.concatenate([ids[settled], ids[first[open_]]])
+        marks = np.concatenate([(span[settled] << _MARK_BITS) | np.uint64(SETTLED), (span[first] << _MARK_BITS | open_ | kind)[open_ > 0]])
+        who = np.concatenate([ids[settled], ids[first[open_ > 0]]])
         yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(marks.astype(np.int64))], names)
 
     answers = sent.repartition("part").mapInArrow(run, "id long, mark long")
@@ -340,9 +413,14 @@ def _cut_spans(documents: DataFrame, n_parts: int) -> DataFrame:
                     code = a.span | a.owner.astype(np.uint64) << bits
                     marks = batch.column("marks").flatten().to_numpy().astype(np.uint64)
                     row = np.repeat(np.arange(len(batch)), batch.column("marks").value_lengths().to_numpy())
-                    kind, told = marks & np.uint64(3), marks >> np.uint64(2) | row.astype(np.uint64) << bits
+                    kind, told = marks & np.uint64(3), marks >> _MARK_BITS | row.astype(np.uint64) << bits
                     settled = np.isin(code, told[kind == SETTLED])
                     loose = np.flatnonzero(np.isin(code, told[kind != SETTLED]) & ~settled)
+                    # A crowded anchor's span has a mark per side.
+                    order = np.argsort(told[kind != SETTLED], kind="stable")
+                    known, start = np.unique(told[kind != SETTLED][order], return_index=True)
+                    sides = np.bitwise_or.reduceat((marks[kind != SETTLED] >> np.uint64(2))[order], start) if len(start) else known
+                    sides = sides[np.searchsorted(known, code[loose])]
                     target = np.bincount(row[kind != OPEN], minlength=len(batch)) > 0
                     depth = np.bincount(a.lo[settled], minlength=len(texts.data) + 1) - np.bincount(a.hi[settled] + WIDTH, minlength=len(texts.data) + 1)
                     covered = np.cumsum(depth) > 0
@@ -357,13 +435,23 @@ def _cut_spans(documents: DataFrame, n_parts: int) -> DataFrame:
                         rows.append({"kind": 0, "key": int(keys[i]), "text": text, "ranges": ranges.astype(np.int64).tobytes()})
                     yield batch_of(rows)
                     raw = texts.data.tobytes()
-                    part = (a.anchor[loose] % np.uint64(n_parts)).astype(int).tolist()
-                    for j, to in zip(loose.tolist(), part):
-                        lo, p, hi, i = int(a.lo[j]), int(a.p[j]), int(a.hi[j]), int(a.owner[j])
-                        open_.append((to, raw[p : hi + WIDTH], raw[lo:p], int(ids[i]), int(keys[i]), lo - int(texts.at[i])))
-                    if len(open_) >= HELD_OPEN:
-                        yield runs(open_)
-                        open_ = []
+                    for g, (least, most) in enumerate(GROUPS):
+                        has = (sides >> np.uint64(g) & np.uint64(1)) > 0
+                        wide = (sides >> np.uint64(len(GROUPS) + g) & np.uint64(1))[has] > 0
+                        part = _dealt(a.anchor[loose[has]], a.sides[loose[has]], g, n_parts)
+                        for j, to, each in zip(loose[has].tolist(), part.tolist(), wide.tolist()):
+                            p, i = int(a.p[j]), int(a.owner[j])
+                            lo, hi, side, begin = max(int(a.lo[j]), p - most), min(int(a.hi[j]), p - least), p - least, int(texts.at[i])
+                            one, key = int(ids[i]), int(keys[i])
+                            if each:
+                                for w in range(lo, hi + 1):
+                                    window = raw[w : w + WIDTH]
+                                    open_.append((zlib.crc32(window) % n_parts, window, b"", one, key, w - begin))
+                            else:
+                                open_.append((to, raw[side : hi + WIDTH], raw[lo:side], one, key, lo - begin))
+                            if len(open_) >= HELD_OPEN:
+                                yield runs(open_)
+                                open_ = []
         if open_:
             yield runs(open_)
 
@@ -400,7 +488,7 @@ def _merge_open(cut: DataFrame) -> DataFrame:
         out: dict[int, list[int]] = {}
         group: list[tuple[bytes, int, int, int]] = []
         for i, j, suffix, known in merge_runs([(r[0], r[1]) for r in found]):
-            if known < K and group:
+            if known < SIDE and group:
                 compare(group, out)
                 group = []
             _, _, before, ids, keys, lo = found[i]
@@ -441,7 +529,7 @@ def _order_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
 
-def dedup(documents: DataFrame) -> DataFrame:
+def dedup(documents: DataFrame, crowded: int = CROWDED, sample: int = SAMPLE, wide: int = WIDE) -> DataFrame:
     """Removes each byte covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row per input row. Strings never cross documents
@@ -449,7 +537,8 @@ def dedup(documents: DataFrame) -> DataFrame:
     doc_id is smaller than all others; rows that share a doc_id take nothing from each other. Repeated rows get the
     same answer each. An empty table gives no rows. Other columns are ignored.
 
-    Whole copies need no sorting: all bytes of a copy of a smaller document's text go, if there are 50.
+    Whole copies need no sorting: all bytes of a copy of a smaller document's text go, if there are 50. ``crowded``,
+    ``sample`` and ``wide`` say how spans are dealt to tasks; no result depends on them.
     """
     docs = documents.select("doc_id", _order_id().alias("id"), row_key().alias("key"), text_or_empty().alias("text"))
     rows = materialize(
@@ -460,7 +549,8 @@ def dedup(documents: DataFrame) -> DataFrame:
     least = rows.groupBy("sha").agg(F.min("id").alias("least"))
     rows = materialize(rows.join(least, "sha").withColumn("copy", F.col("id") > F.col("least")).drop("least"), "suffix-classes")
     own = rows.where("NOT copy AND n_bytes >= 50").select("id").distinct()
-    answers = materialize(_answer_spans(_send_spans(docs, n_parts)).join(own, "id", "left_semi"), "suffix-answers")
+    hot = _crowded(docs, sample, crowded)
+    answers = materialize(_answer_spans(_send_spans(docs, n_parts, hot), wide).join(own, "id", "left_semi"), "suffix-answers")
     told = keep_keys(docs.select("id", "key", "text"), answers.select("id"), "id").join(answers.hint("shuffle_hash"), "id")
     cut = store_packed(_cut_spans(told, n_parts), "suffix-runs")
     texts = cut.where("kind = 0").select("key", "text", "ranges").join(_merge_open(cut), "key", "left")

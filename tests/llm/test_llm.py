@@ -185,6 +185,69 @@ def test_repeated_strings(docs, none):
     assert suffix_runs.dedup(none).count() == 0
 
 
+def _surrounded(n):
+    """Documents around one 20-byte string, all surroundings new but for a few that share 50 bytes and more."""
+    draw = random.Random(9)
+    text = lambda k: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    many = np.frombuffer(text(100_000).encode(), np.uint8)
+    hasher = suffix_runs.Hasher()
+    at = int(np.argmin(hasher.every(hasher.sums(many), 20)))  # the smallest hash, so that it is the anchor
+    shared = many[at : at + 20].tobytes().decode()
+    rows = [(i, text(90) + shared + text(90)) for i in range(n)]
+    left, right = text(33), text(33)
+    rows += [(n + i, text(60) + left[i % 7 :] + shared + right[: 33 - i % 5] + text(60)) for i in range(12)]
+    return rows
+
+
+def _cut_by_hand(rows):
+    least, want = {}, []
+    for i, t in rows:
+        raw = t.encode()
+        for j in range(len(raw) - 49):
+            least[raw[j : j + 50]] = min(least.get(raw[j : j + 50], i), i)
+    for i, t in rows:
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for j in range(len(raw) - 49):
+            if least[raw[j : j + 50]] < i:
+                gone[j : j + 50] = True
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        want.append((i, len(raw), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(want)
+
+
+def test_surroundings_of_one_anchor_are_not_open_and_meet_apart(spark):
+    rows = _surrounded(1500)
+    table = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    none_crowded = np.zeros(0, np.uint64)
+    answers = suffix_runs._answer_spans(suffix_runs._send_spans(table, 4, none_crowded), suffix_runs.WIDE).collect()
+    open_ = sum(m & 3 != suffix_runs.SETTLED for r in answers for m in r.marks)
+    assert 12 <= open_ < 100  # with one byte a side nearly all 1500
+    assert sum(m & 3 != suffix_runs.SETTLED for r in answers if r.id < 1500 for m in r.marks) <= 6  # three bytes, by chance
+    crowded = suffix_runs._crowded(table, 1, 1000)
+    assert len(crowded) > 0
+    sent = suffix_runs._send_spans(table, 8, crowded).where("id is null").select("part", "anchor").collect()
+    for one in crowded:
+        assert len({r.part for r in sent if one in suffix_runs._unsix(r.anchor)}) == 8
+
+
+@pytest.mark.parametrize("dealt", [{}, {"crowded": 8, "sample": 1}, {"wide": 2}, {"crowded": 8, "sample": 1, "wide": 3}])
+def test_dealing_of_crowded_anchors_changes_no_result(spark, docs, dealt, monkeypatch):
+    monkeypatch.setattr(suffix_runs, "PART_BYTES", 20_000)
+    rows = _surrounded(300)
+    got = suffix_runs.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **dealt).collect()
+    want = _cut_by_hand(rows)
+    assert sorted(tuple(r) for r in got) == want and sum(w[2] for w in want) > 400
+    got = suffix_runs.dedup(docs, **dealt).where("doc_id is not null").collect()
+    assert sorted(tuple(r) for r in got) == _cut_by_hand([(i, t) for i, t in texts() if i is not None])
+
+
+def test_sides_survive_packing():
+    sides = np.random.default_rng(3).integers(0, 1 << 24, (500, len(suffix_runs.GROUPS))).astype(np.uint32)
+    sides[np.random.default_rng(4).random(sides.shape) < 0.5] = 0
+    assert (suffix_runs._unpack_sides(suffix_runs._pack_sides(sides), 500) == sides).all()
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     runs = [sorted(bytes(random.choices(b"ab", k=random.randint(0, 9))) for _ in range(random.randint(0, 40))) for _ in range(7)]
     out = [(s, known) for _, _, s, known in suffix_runs.merge_runs([suffix_runs.front_code(r) for r in runs])]
