@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import row_key, text_or_empty, unused
@@ -119,12 +119,28 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 def repeat(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The documents, with all their columns, each as often as the mix takes it.
 
-    Rows that repeat both id and text share their copies evenly, the rest of that division left out.
+    Rows that repeat id, text and source share the copies that the mix gives them all: each gets the whole part of the
+    division, and as many of them as remain get one more.
     """
-    key, times = unused(documents, "_key"), unused(documents, "_copies")
-    copies = _mixed(documents, weights).groupBy(F.col("key").alias(key)).agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias(times))
-    copies = materialize(copies.where(F.col(times) > 0), "mix-copies")
-    taken = documents.withColumn(key, row_key()).join(copies.hint("shuffle_hash"), key)
+    key, times, left, number, part, before = (unused(documents, c) for c in ("_key", "_copies", "_left", "_number", "_part", "_before"))
+    named = lambda row: F.xxhash64(row, F.col("source").isNull(), F.col("source")).alias(key)
+    copies = _mixed(documents, weights).groupBy(named(F.col("key"))).agg(F.sum("copies").alias("sum"), F.count("*").alias("n"))
+    whole, rest = F.floor(F.col("sum") / F.col("n")).cast("int").alias(times), (F.col("sum") % F.col("n")).alias(left)
+    copies = materialize(copies.where("sum > 0").select(key, whole, rest), "mix-copies")
+    keyed = documents.withColumn(key, named(row_key()))
+    taken = keyed.join(copies.where(F.col(left) == 0).hint("shuffle_hash"), key).drop(left)
+    uneven = copies.where(F.col(left) > 0)
+    if not uneven.isEmpty():
+        # Rows of a key are numbered per part of the written table, then by how many the parts before hold.
+        rows = materialize(keyed.join(uneven.hint("shuffle_hash"), key).withColumn(number, F.monotonically_increasing_id()), "mix-uneven")
+        rows = rows.withColumn(part, F.shiftright(number, 33))
+        held = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        counts = rows.groupBy(key, part).agg(F.count("*").alias("n"))
+        counts = counts.select(key, part, F.coalesce(F.sum("n").over(held), F.lit(0)).alias(before))
+        rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(key, part).orderBy(number))).join(counts, [key, part])
+        more = (F.col(before) + F.col(number) <= F.col(left)).cast("int")
+        rows = rows.withColumn(times, F.col(times) + more).where(F.col(times) > 0)
+        taken = taken.unionByName(rows.select(taken.columns))
     return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(documents.columns)
 
 

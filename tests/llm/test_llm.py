@@ -351,6 +351,20 @@ def test_mix_meets_its_targets(docs, none):
     assert balance.mix(none).count() == 0 and balance.repeat(none).count() == 0
 
 
+def test_repeated_rows_take_all_copies_of_the_mix(spark):
+    rows = [(1, "one two three", "a", i) for i in range(41)] + [(1, "one two three", None, 0), (2, "four", "a", 0), (2, "four", "a", 0)]
+    rows += [(10 + i, prose(5 + i), "b", i) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, other long").repartition(5)
+    want, n = collections.Counter(), collections.Counter()
+    for r in balance.mix(table, (1, 4, 2)).collect():
+        want[r.doc_id, r.source] += r["copies"]
+        n[r.doc_id, r.source] += 1
+    assert want[1, "a"] % n[1, "a"]  # a remainder that used to be left out
+    got = balance.repeat(table, (1, 4, 2))
+    assert got.columns == table.columns
+    assert collections.Counter((r.doc_id, r.source) for r in got.collect()) == +want
+
+
 def _luhn(s):
     total = 0
     for i, c in enumerate(reversed(s)):
