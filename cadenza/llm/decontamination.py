@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Hasher, Texts, mix, pieces, text_or_empty, unused
+from cadenza.llm.common import Hasher, Texts, drop_keys, mix, pieces, row_key, text_or_empty, unused
 from cadenza.session import materialize
 
 PIECE_WORDS = 64
@@ -331,16 +331,47 @@ class Finder:
         return [(text, item, *v) for (text, item), v in sorted(best.items())]
 
 
-def indexes(documents: DataFrame, benchmark: DataFrame) -> list[Index]:
-    """One index per INDEX_PIECES pieces of the benchmark, the query set, which the driver holds."""
+def blocks(benchmark: DataFrame) -> Iterator[list[Piece]]:
+    """Pieces of the benchmark, the query set, INDEX_PIECES at a time; the driver reads one part of the sorted table after the other."""
     items = benchmark.where("item_id is not null").select("item_id", folded().alias("text"))
-    some = cut_items(items.orderBy("item_id", "text").collect())
-    if not some:
-        return []
+    held: list[Piece] = []
+    for row in items.orderBy("item_id", "text").toLocalIterator():
+        held += cut_items([row])
+        while len(held) >= INDEX_PIECES:
+            yield held[:INDEX_PIECES]
+            held = held[INDEX_PIECES:]
+    if held:
+        yield held
+
+
+def indexes(documents: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """One index per block of the benchmark, built when asked for, and whether it is the last."""
+    some = blocks(benchmark)
+    now = next(some, None)
+    if now is None:
+        return
     n_passages, seen = _passage_counts(documents)
-    if not n_passages:
-        return []
-    return [build(documents, some[i : i + INDEX_PIECES], n_passages, seen) for i in range(0, len(some), INDEX_PIECES)]
+    while now is not None and n_passages:
+        next_ = next(some, None)
+        yield build(documents, now, n_passages, seen), next_ is None
+        now = next_
+
+
+def _hits(documents: DataFrame, index: Index | None) -> DataFrame:
+    """key, doc_id, item_id, cosine, found, answer of the items of one index; without one no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(index) if index else None
+        for batch, texts in pieces(batches) if finder else ():
+            hits = finder.find(texts)
+            rows = pa.array([h[0] for h in hits], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(rows), batch.column("doc_id").take(rows), pa.array([h[1] for h in hits], pa.int64()), *[pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4)]],
+                ["key", "doc_id", "item_id", "cosine", "found", "answer"],
+            )
+
+    rows = documents.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), folded().alias("text"))
+    return rows.mapInArrow(run, "key long, doc_id long, item_id long, cosine double, found double, answer double")
 
 
 def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -348,38 +379,45 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Clean documents have no row, nor have null and empty texts; items without words or id are never found. A repeated
     row is reported as often as it occurs. Empty tables give no rows. Other columns are ignored.
-    """
-    all_indexes = indexes(documents, benchmark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = [Finder(index) for index in all_indexes]
-        for batch, texts in pieces(batches):
-            hits: dict[tuple[int, int], tuple] = {}
-            for finder in finders:
-                for text, item, *v in finder.find(texts):  # pieces of one item may be in two indexes
-                    hits[text, item] = max(hits.get((text, item), (0.0, 0.0, 0.0)), tuple(v), key=lambda x: x[1])
-            rows = np.array([t for t, _ in hits], np.int64)
-            values = list(hits.values())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows)), pa.array([i for _, i in hits], pa.int64()), *[pa.array([v[k] for v in values], pa.float64()) for k in range(3)]],
-                ["doc_id", "item_id", "cosine", "found", "answer"],
-            )
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), folded().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, item_id long, cosine double, found double, answer double")
+    Each block of a larger benchmark takes a pass over the documents; only its index is held meanwhile.
+    """
+    columns = ["doc_id", "item_id", "cosine", "found", "answer"]
+    told, same = None, ["key", "doc_id", "item_id"]
+    for k, (index, last) in enumerate(indexes(documents, benchmark)):
+        hits = _hits(documents, index)
+        if told is None and last:
+            return hits.select(columns)
+        # Pieces of one item may be in two blocks: the larger share counts, of equal ones the first.
+        best = F.struct("found", F.lit(-k).alias("block"), "cosine", "answer")
+        hits = hits.groupBy(same).agg(F.count("*").alias("n"), F.max(best).alias("best"))
+        both = hits if told is None else told.unionByName(hits).groupBy(same).agg(F.max("n").alias("n"), F.max("best").alias("best"))
+        told = materialize(both, "block-hits")
+    if told is None:
+        return _hits(documents, None).select(columns)
+    return told.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("doc_id", "item_id", "best.cosine", "best.found", "best.answer")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item."""
-    all_indexes = indexes(documents, benchmark)
-    name = unused(documents, "_folded")
+    name, told = unused(documents, "_folded"), None
+    key = unused(documents, "_key")
+    for index, last in indexes(documents, benchmark):
+        if told is None and last:
+            return _without(documents, index, name)
+        hits = _hits(documents, index).select(F.col("key").alias(key))
+        told = materialize((hits if told is None else told.union(hits)).distinct(), "block-keys")
+    return documents if told is None else drop_keys(documents.withColumn(key, row_key()), told, key).select(documents.columns)
+
+
+def _without(documents: DataFrame, index: Index, name: str) -> DataFrame:
+    """The documents that hold no item of one index, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = [Finder(index) for index in all_indexes]
+        finder = Finder(index)
         for batch, texts in pieces(batches, name):
             keep = np.ones(texts.n, bool)
-            for finder in finders:
-                keep[[text for text, *_ in finder.find(texts)]] = False
+            keep[[text for text, *_ in finder.find(texts)]] = False
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
 
     return documents.select("*", folded().alias(name)).mapInArrow(run, documents.schema)

@@ -320,6 +320,26 @@ def test_benchmark_items_are_found(spark, docs, none):
     assert decontamination.find(docs, items.where("item_id = 9")).count() == 0
 
 
+def test_benchmark_is_held_block_by_block(spark, docs, monkeypatch):
+    items = [(1, ITEM), (2, prose(50)), (3, PASSAGE), (4, prose(90)), (5, f"{BASE_TEXT} {prose(20)}"), (6, ITEM.title())]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((str(r.doc_id), r.item_id, round(r.found, 9)) for r in decontamination.find(docs, table).collect())
+    kept = sorted(map(str, decontamination.clean(docs, table).collect()))
+    monkeypatch.setattr(decontamination, "INDEX_PIECES", 3)
+    built, held = [], decontamination.build
+    monkeypatch.setattr(decontamination, "build", lambda docs, some, *rest: built.append(len(some)) or held(docs, some, *rest))
+    lazy = decontamination.indexes(docs, table)
+    next(lazy)
+    assert built == [3]  # no other block is built before it is asked for
+    lazy.close()
+    twice = docs.union(docs.where("doc_id = 90"))
+    found = decontamination.find(twice, table)
+    got = [(str(r.doc_id), r.item_id, round(r.found, 9)) for r in found.collect()]
+    assert sorted(got) == sorted(want + [w for w in want if w[0] == "90"]) and {w[1] for w in want} >= {1, 3, 5, 6}
+    out = decontamination.clean(docs, table)
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == kept and len(kept) < len(ROWS)
+
+
 def test_longest_common_subsequence():
     for _ in range(50):
         a, b = np.random.default_rng().integers(0, 5, 12), np.random.default_rng().integers(0, 5, 17)
