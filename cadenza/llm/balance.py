@@ -171,13 +171,15 @@ def _mixed(documents: DataFrame, weights: tuple[int, ...]) -> DataFrame:
         .withColumn("_block", F.pmod(F.xxhash64("key", F.lit("block")), F.col("_blocks")))
         .drop("_s", "_m", "_mean", "_blocks")
     )
-    schema = "doc_id long, key long, source string, size long, source_size long, target double, rate double, copies long, taken long"
+    schema = "doc_id string, key long, source string, size long, source_size long, target double, rate double, copies long, taken long"
 
     def round_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable")
         size, rate = pdf["size"].to_numpy(np.int64), pdf["rate"].to_numpy(float)
         copies = round_rates(size, rate)
         return pdf.assign(copies=copies, taken=copies * size)[[c.split()[0] for c in schema.split(", ")]]
 
-    # Small columns only; the sort by size lets the shortest documents settle what the longest leave.
-    return rated.groupBy("source", "_block").applyInPandas(round_block, schema)
+    # Small columns only; the sort by size lets the shortest documents settle what the longest leave. Ids travel as text:
+    # pandas would make floats of whole numbers beside a null.
+    rounded = rated.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("source", "_block").applyInPandas(round_block, schema)
+    return rounded.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
