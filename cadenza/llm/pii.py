@@ -17,6 +17,9 @@ from cadenza.llm.common import text_or_empty
 SPAN = "array<struct<start:long,end:long,value:string>>"
 #: Characters before and after a span in which context words count.
 NEAR = 48
+#: Characters in a part of a text, and positions summed in one run: both only bound the work per span.
+PIECE = 256
+RUN = 256
 
 
 @dataclass(frozen=True)
@@ -79,7 +82,7 @@ def mod_97(value: Column) -> Column:
 # The base patterns. Where a lookbehind or a possessive quantifier is added, the matches are the
 # same: it only stops retries inside a run of characters that has already failed as a whole.
 BASE = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "@",
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@",
          None, r"(?i)\b(e-?mail|mail|contact|write|kontakt|correo|courriel)\b", prior=0.8),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", _ip_parts, r"(?i)\b(ip|address|server|host|adresse|servidor)\b"),
     # Only maximal runs of 12 to 19 digits: of the base pattern's matches no others can pass.
@@ -95,31 +98,72 @@ ADDED = (
 )
 
 
+def _folded_sums(numbers: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers. Appending copies the array, so this is for short arrays."""
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("sums"))
+
+    def step(state: Column, n: Column) -> Column:
+        at = state["at"] + n
+        return F.struct(at.alias("at"), F.concat(state["sums"], F.array(at)).alias("sums"))
+
+    return F.aggregate(numbers, begin, step, lambda state: state["sums"])
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, wherever and however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers, run by run, and the runs shifted by the totals before them."""
+
+    def cut(numbers: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / RUN).cast("int"))
+        return F.transform(starts, lambda i: _folded_sums(F.slice(numbers, i * RUN + 1, RUN)))
+
+    def shifted(runs: Column) -> Column:
+        ends = _folded_sums(F.transform(runs, lambda run: F.element_at(run, -1)))
+        return F.flatten(F.transform(
+            F.arrays_zip(runs.alias("run"), ends.alias("end")),
+            lambda z: bound(z["end"] - F.element_at(z["run"], -1), lambda before: F.transform(z["run"], lambda at: at + before)),
+        ))
+
+    return bound(numbers, lambda n: F.when(F.size(n) > 0, bound(cut(n), shifted)).otherwise(F.array().cast("array<long>")))
+
+
 def matches(text: Column, kind: Kind) -> Column:
     """All matches of the pattern, leftmost first and not overlapping, with code-point positions."""
     gaps = F.split(text, kind.pattern, -1)
     values = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    pairs = F.transform(
+        F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("gap"), values.alias("value")),
+        lambda p: F.struct(F.length(p["gap"]).cast("long").alias("gap"), F.length(p["value"]).cast("long").alias("size"), p["value"].alias("value")),
+    )
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def spans(pairs: Column) -> Column:
+        ends = running_sums(F.transform(pairs, lambda p: p["gap"] + p["size"]))
+        return F.transform(
+            F.arrays_zip(pairs.alias("pair"), ends.alias("end")),
+            lambda z: F.struct((z["end"] - z["pair"]["size"]).alias("start"), z["end"].alias("end"), z["pair"]["value"].alias("value")),
+        ).cast(SPAN)
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("gap"), values.alias("value"))
     none = F.from_json(F.lit("[]"), SPAN)
-    begin = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-    pairs = F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["value"].alias("value")))
-    found = F.aggregate(pairs, begin, lambda s, p: step(s, p).cast(f"struct<at:long,spans:{SPAN}>"), lambda s: s["spans"])
+    found = bound(pairs, spans)
     return F.when(text.contains(kind.hint), found).otherwise(none) if kind.hint else F.when(text.rlike(kind.pattern), found).otherwise(none)
 
 
-def _scored(text: Column, kind: Kind, spans: Column) -> Column:
-    """Adds kind and score: the prior, 0.3 for a passed check, 0.2 for a context word nearby."""
+def _scored(pieces: Column, kind: Kind, spans: Column) -> Column:
+    """Adds kind and score: the prior, 0.3 for a passed check, 0.2 for a context word nearby.
+
+    ``pieces`` is the text in parts of PIECE characters: a position is looked up in its part, never counted from the start.
+    """
 
     def score(span: Column) -> Column:
-        begin = F.greatest(span["start"] - NEAR, F.lit(0)).cast("int")
-        around = F.substring(text, begin + 1, (span["end"] - begin + NEAR).cast("int"))
+        begin = F.greatest(span["start"] - NEAR, F.lit(0))
+        first = F.floor(begin / PIECE)
+        last = F.floor((span["end"] + NEAR) / PIECE)
+        parts = F.array_join(F.slice(pieces, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        around = F.substring(parts, (begin - first * PIECE + 1).cast("int"), (span["end"] - begin + NEAR).cast("int"))
         near = around.rlike(kind.context)
         points = F.lit(kind.prior + (0.3 if kind.check else 0.0)) + F.when(near, 0.2).otherwise(0.0)
         return F.struct(
@@ -153,7 +197,10 @@ def find(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", text_or_empty().alias("_text"))
     for kind in kinds:
         rows = rows.withColumn(f"_{kind.name}", matches(F.col("_text"), kind))
-    each = [_scored(F.col("_text"), k, F.col(f"_{k.name}")) for k in kinds]
+    some = F.greatest(*[F.size(f"_{k.name}") for k in kinds]) > 0
+    cut = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    rows = rows.withColumn("_pieces", F.when(some, cut).otherwise(F.array().cast("array<string>")))
+    each = [_scored(F.col("_pieces"), k, F.col(f"_{k.name}")) for k in kinds]
     return rows.select("doc_id", _place(F.concat(*each), kinds).alias("spans"))
 
 

@@ -240,3 +240,59 @@ def test_fields_never_run_into_each_other():
         for mask, one in enumerate(filter_audit.packed(width)):
             counts = filter_audit.unpacked(one * n, width)
             assert all(c == n * filter_audit.removed_at(mask, *at) for at, c in counts.items())
+
+
+# ---- personal data in long texts, and ids beside a null id -------------------------------------------
+
+
+def shape(unit, size):
+    return unit * (size // len(unit))
+
+
+@pytest.mark.parametrize("size", [10_000, 1_000_000])
+def test_long_texts_of_the_worst_shapes(spark, size):
+    from cadenza.llm import pii
+
+    texts = {
+        "one address": ("a@b" + shape(".c", size), (1, 0, 0, 0)),
+        "one name": (shape("a.", size) + "@b.c", (1, 0, 0, 0)),
+        "addresses": (shape("é a@b.co ", size), (size // 9, 0, 0, 0)),
+        "no address": (shape("a@", size), (0, 0, 0, 0)),
+        "ips": (shape("1.2.3.4 ", size), (0, size // 8, 0, 0)),
+        "dots": (shape("1.", size), (0, size // 8, 0, 0)),
+        "digits": (shape("1", size), (0, 0, 0, 0)),
+        "blank digits": (shape("1 ", size), (0, 0, 0, 0)),
+        "cards": (shape("4111111111111111, ", size), (0, 0, size // 18, 0)),
+        "phones": (shape("+49 30 1234567; ", size), (0, 0, 0, size // 16)),
+        "plus": ("+1" + shape("(", size), (0, 0, 0, 0)),
+        "letters": (shape("AB12", size), (0, 0, 0, 0)),
+    }
+    names = list(texts)
+    rows = spark.createDataFrame([(i, texts[n][0]) for i, n in enumerate(names)], "doc_id long, text string").repartition(len(names))
+    for row in pii.report(rows).collect():
+        name = names[row.doc_id]
+        assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == texts[name][1], name
+        if name == "addresses":
+            ends = [s.split(":") for s in row.spans.split(",")]
+            assert all((int(a), int(b)) == (9 * i + 2, 9 * i + 8) for i, (_, a, b) in enumerate(ends))
+
+
+def test_context_words_across_parts_of_a_text(spark):
+    """Context is looked up in parts of the text: wherever a span lies, the same words count."""
+    from cadenza.llm import pii
+
+    rows = [(i, "é" * i + " call me +49 30 1234567 or not " + "x " * (600 - i)) for i in range(0, 600, 7)]
+    far = [(1000 + i, "call " + "é" * (i + 60) + " +49 30 1234567") for i in range(0, 600, 7)]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows + far, "doc_id long, text string")).collect()}
+    assert all(found[i][0].context and found[i][0].score == 1.0 for i, _ in rows)
+    assert not any(found[i][0].context for i, _ in far)
+
+
+def test_mix_keeps_large_ids_beside_a_null(spark):
+    from cadenza.llm import balance
+
+    ids = [2**60 + 1, 2**60 + 3, None, 7]
+    docs = spark.createDataFrame([(i, "a b c", "s") for i in ids], "doc_id long, text string, source string").coalesce(1)
+    assert {r.doc_id for r in balance.mix(docs).collect()} == set(ids)
+    named = spark.createDataFrame([("x", "a b", "s"), (None, "c d", "s")], "doc_id string, text string, source string")
+    assert {r.doc_id for r in balance.mix(named).collect()} == {"x", None}
