@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import track_id_from_href
+from cadenza.operators import forest
 from cadenza.operators.clean import difference, drop_incomplete, first_per_key, stacked
-from cadenza.operators.sampling import sample_negatives, split_exactly
+from cadenza.operators.forest import Forest
+from cadenza.operators.numbering import number_within
+from cadenza.operators.sampling import sample_negatives
 from cadenza.session import materialize
 
 # Forest size and seed, songs kept, songs recommended, evaluation repeats.
@@ -88,44 +86,31 @@ def training_rows(
     return stacked(keyed, negatives.select("id", *columns))
 
 
-@dataclass(frozen=True)
-class Forest:
-    """A fitted play-count predictor."""
-
-    model: RandomForestRegressionModel
-    features: list[str]
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        """Add ``predicted_count``; rows with a missing feature are left out."""
-        columns = df.columns
-        scored = self.model.transform(_assembled(df, self.features))
-        return scored.select(*columns, F.col("prediction").alias("predicted_count"))
-
-
-def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
-    return assembler.transform(df)
-
-
 def fit_forest(
     train: DataFrame,
     features: list[str],
     trees: int = TREES,
     seed: int = FOREST_SEED,
-    max_depth: int = 30,
+    max_depth: int = forest.DEEPEST,
 ) -> Forest:
-    """Regression forest on ``count`` that considers every feature at every split."""
-    if len(train.select(F.lit(1)).take(2)) < 2:
+    """Regression forest on ``count`` with exact splits that considers every feature at every split."""
+    complete = drop_incomplete(train, features)
+    if len(complete.select(F.lit(1)).take(2)) < 2:
         raise ValueError("a forest needs at least two training rows; with one it predicts one constant")
-    forest = RandomForestRegressor(
-        featuresCol="_features",
-        labelCol="count",
-        numTrees=trees,
-        maxDepth=max_depth,
-        featureSubsetStrategy="all",
-        seed=seed,
-    )
-    return Forest(forest.fit(_assembled(train, features)), list(features))
+    key = [c for c in ("artist", "track", "id") if c in complete.columns]
+    rows = complete.withColumn("run", F.lit(1)).withColumn("label", F.col("count"))
+    rows = forest.numbered(rows.select("run", "label", *key, *features), [*key, "label", *features])
+    return Forest(forest.grow(rows, features, trees, seed, max_depth), list(features), trees)
+
+
+def constant_forest(song: DataFrame, features: list[str], trees: int = TREES) -> Forest:
+    """The degenerate fit on a single song: every tree is one leaf, so every prediction is its count."""
+    nodes = song.limit(1).select(
+        F.lit(1).alias("run"), F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"), F.lit(1).cast("long").alias("node"),
+        F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("threshold"),
+        F.col("count").cast("double").alias("value"), F.lit(1).cast("long").alias("n"),
+    )
+    return Forest(materialize(nodes, "forest-nodes"), list(features), trees)
 
 
 def squared_error(predicted: DataFrame) -> DataFrame:
@@ -134,24 +119,30 @@ def squared_error(predicted: DataFrame) -> DataFrame:
     return predicted.agg(F.avg(gap * gap).alias("mse"))
 
 
-def _one_run(
-    positives: DataFrame,
-    unheard: DataFrame | None,
-    features: list[str],
-    seed: int,
-    test_share: float,
-    trees: int,
-) -> tuple[Forest, float]:
-    if unheard is None:
-        rows = positives.select("artist", "track", *features, "count")
-        key = ["artist", "track"]
-    else:
-        rows = training_rows(positives, unheard, features, seed)
-        key = ["artist", "track", "id"]
-    split = materialize(split_exactly(rows, key, test_share, seed), "forest-rows")
-    forest = fit_forest(split.where(~F.col("is_test")), features, trees)
-    mse = squared_error(forest.predict(split.where("is_test"))).first()["mse"]
-    return forest, float("nan") if mse is None else mse
+def _all_runs(
+    positives: DataFrame, unheard: DataFrame | None, features: list[str], seeds: list[int], test_share: float
+) -> DataFrame:
+    """The rows of every run, with ``is_test``: what training_rows and split_exactly give for each seed."""
+    runs = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("run"), F.lit(s).alias("seed")) for i, s in enumerate(seeds)]))
+    key = ["artist", "track"] if unheard is None else ["artist", "track", "id"]
+
+    def hashed(rows: DataFrame, columns: list[str]) -> DataFrame:
+        text = F.concat_ws("|", F.col("seed").cast("string"), *[F.col(c).cast("string") for c in columns])
+        return rows.withColumn("_hash", F.md5(text))
+
+    heard = materialize(positives.select("artist", "track", *features, F.col("count").alias("label")), "heard")
+    rows = heard.withColumn("_run", runs).select("_run.run", "_run.seed", "*").drop("_run")
+    if unheard is not None:
+        wanted = heard.count()
+        drawn = hashed(unheard.select("id", "artist", "track", *features).withColumn("_run", runs).select("_run.*", "*"), ["id"])
+        nth = F.row_number().over(Window.partitionBy("run").orderBy("_hash", "id"))
+        drawn = drawn.withColumn("_nth", nth).where(F.col("_nth") <= wanted).withColumn("label", F.lit(0))
+        rows = rows.unionByName(drawn.drop("_run", "_hash", "_nth"), allowMissingColumns=True)
+    ranked = number_within(hashed(drop_incomplete(rows, features), key), ["run"], ["_hash", *key], "_rank")
+    ranked = materialize(ranked, "forest-ranked")
+    sizes = ranked.groupBy("run").agg(F.ceil(F.lit(test_share) * F.count("*")).alias("_tests"))
+    rows = ranked.join(sizes, "run").withColumn("is_test", F.col("_rank") <= F.col("_tests"))
+    return rows.select("run", "seed", *key, *features, "label", "is_test")
 
 
 def evaluate_forest(
@@ -162,21 +153,23 @@ def evaluate_forest(
     trees: int = TREES,
     first_seed: int = 0,
     test_share: float = 0.2,
-    parallelism: int = 4,
 ) -> tuple[DataFrame, Forest]:
-    """Repeat sampling, splitting, fitting and scoring; returns (run, mse) rows and the last forest.
+    """Repeat sampling, splitting, fitting and scoring; returns (run, seed, mse) rows and the last forest.
 
-    ``unheard=None`` trains on heard songs only (the comparison without negatives). Only one number per
-    run reaches the driver.
+    ``unheard=None`` trains on heard songs only (the comparison without negatives). All runs are one table: their
+    samples, splits, trees and predictions come from the same jobs, however many runs there are.
     """
     seeds = [first_seed + i for i in range(repeats)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        runs = list(
-            pool.map(lambda s: _one_run(positives, unheard, features, s, test_share, trees), seeds)
-        )
-    rows = [(i + 1, seed, mse) for i, (seed, (_, mse)) in enumerate(zip(seeds, runs, strict=True))]
-    table = positives.sparkSession.createDataFrame(rows, "run int, seed int, mse double")
-    return table, runs[-1][0]
+    rows = materialize(_all_runs(positives, unheard, features, seeds, test_share), "forest-runs")
+    key = ["artist", "track"] if unheard is None else ["artist", "track", "id"]
+    train = forest.numbered(rows.where(~F.col("is_test")), key)
+    fitted = Forest(forest.grow(train, features, trees, FOREST_SEED), list(features), trees)
+    predicted = fitted.predict_runs(rows.where("is_test").withColumnRenamed("label", "count"))
+    gap = F.col("count") - F.col("predicted_count")
+    errors = predicted.groupBy("run").agg(F.avg(gap * gap).alias("mse"))
+    known = positives.sparkSession.createDataFrame([(i + 1, s) for i, s in enumerate(seeds)], "run int, seed int")
+    table = known.join(errors, "run", "left")
+    return materialize(table, "forest-errors"), fitted.of_run(repeats)
 
 
 def error_summary(runs: DataFrame) -> DataFrame:
@@ -185,10 +178,10 @@ def error_summary(runs: DataFrame) -> DataFrame:
 
 
 def forest_recommendations(
-    forest: Forest, unheard: DataFrame, n: int = TOP_CANDIDATES
+    fitted: Forest, unheard: DataFrame, n: int = TOP_CANDIDATES
 ) -> DataFrame:
-    """The ``n`` unheard songs with the highest predicted play count."""
-    return forest.predict(unheard).orderBy(F.col("predicted_count").desc(), "id").limit(n)
+    """The ``n`` unheard songs with the highest predicted play count, compared at nine decimals."""
+    return fitted.predict(unheard).orderBy(F.round("predicted_count", 9).desc(), "id").limit(n)
 
 
 def usable_history(history: DataFrame, features: list[str]) -> DataFrame:

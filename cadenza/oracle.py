@@ -257,6 +257,97 @@ def _hash(seed: int, *cols: str) -> str:
     return f"md5(concat_ws('|', '{seed}', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols)}))"
 
 
+_TRAINING = (
+    "training AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY artist, track, id NULLS FIRST) AS row_no FROM ("
+    "SELECT CAST(NULL AS BIGINT) AS id, artist, track, count AS label, {f} FROM heard UNION ALL "
+    "SELECT id, artist, track, 0, {f} FROM (SELECT *, row_number() OVER (ORDER BY {h}, id) AS nth FROM unheard) "
+    "WHERE nth <= (SELECT count(*) FROM heard)))"
+).format(f=", ".join(FEATURES_11), h="md5('7|' || id)")
+
+
+def _grown(train: str, asked: str, trees: int, deepest: int = 60) -> str:
+    """CTEs that grow a forest level by level: ``steps`` has every node that a row passes, asked rows with weight 0.
+
+    ``train`` has run, row_no, label and the features, ``asked`` run, row_no (below 0) and the features.
+    """
+    cells = " UNION ALL ".join(
+        f"SELECT run, row_no, {i} AS feature, CAST({f} AS DOUBLE) AS value FROM {t}"
+        for t in (train, asked)
+        for i, f in enumerate(FEATURES_11)
+    )
+    draw = "('0x' || substr(md5('42|' || run || '|' || tree || '|' || row_no), 1, 15))::BIGINT"
+    return f"""
+        cells AS MATERIALIZED ({cells}),
+        sizes AS (SELECT run, count(*) AS size FROM {train} GROUP BY run),
+        bags AS MATERIALIZED (
+            SELECT run, tree, drawn AS row_no, count(*) AS w
+            FROM (SELECT run, tree, {draw} % size + 1 AS drawn FROM {train} JOIN sizes USING (run), range(1, {trees + 1}) AS t(tree))
+            GROUP BY ALL
+        ),
+        steps AS (
+            SELECT run, tree, 1::BIGINT AS node, row_no, w, label::DOUBLE AS label FROM bags JOIN {train} USING (run, row_no)
+            UNION ALL
+            SELECT run, tree, 1, row_no, 0, 0 FROM {asked}, range(1, {trees + 1}) AS t(tree)
+            UNION ALL
+            SELECT s.run, s.tree, 2 * s.node + (c.value > b.threshold)::BIGINT, s.row_no, s.w, s.label
+            FROM steps s JOIN (
+                SELECT run, tree, node, feature, CASE WHEN (value + above) / 2 < above THEN (value + above) / 2 ELSE value END AS threshold
+                FROM (
+                    SELECT run, tree, node, feature, value, lead(value) OVER line AS above,
+                           sum(w) OVER line AS l, sum(wy) OVER line AS ly, sum(w) OVER whole AS n, sum(wy) OVER whole AS total,
+                           min(low) OVER whole AS low, max(high) OVER whole AS high
+                    FROM (
+                        SELECT s.run, s.tree, s.node, c.feature, c.value, sum(s.w) AS w, sum(s.w * s.label) AS wy,
+                               min(s.label) AS low, max(s.label) AS high
+                        FROM steps s JOIN cells c ON c.run = s.run AND c.row_no = s.row_no
+                        WHERE s.w > 0 AND s.node < {1 << deepest} GROUP BY ALL
+                    )
+                    WINDOW line AS (PARTITION BY run, tree, node, feature ORDER BY value),
+                           whole AS (PARTITION BY run, tree, node, feature)
+                )
+                WHERE above IS NOT NULL AND low < high
+                QUALIFY row_number() OVER (PARTITION BY run, tree, node
+                    ORDER BY ly * ly / l + (total - ly) * (total - ly) / (n - l) DESC, feature, value) = 1
+            ) b ON b.run = s.run AND b.tree = s.tree AND b.node = s.node
+            JOIN cells c ON c.run = s.run AND c.row_no = s.row_no AND c.feature = b.feature
+        ),
+        leaves AS (
+            SELECT run, tree, node, sum(w * label) / sum(w) AS value, sum(w)::BIGINT AS n
+            FROM steps WHERE w > 0 GROUP BY run, tree, node
+        ),
+        predicted AS (
+            SELECT run, row_no, sum(value) / {trees} AS predicted_count
+            FROM (SELECT run, tree, row_no, max(node) AS node FROM steps WHERE w = 0 GROUP BY ALL)
+            JOIN leaves USING (run, tree, node) GROUP BY run, row_no
+        )
+    """
+
+
+def _evaluated(runs: int, negatives: bool) -> str:
+    """CTEs up to ``errors`` (run, mse) of repeated sampling, splitting, fitting and scoring; run r has seed r - 1."""
+    f = ", ".join(FEATURES_11)
+    drawn = (
+        f"UNION ALL SELECT run, id, artist, track, 0, {f} FROM (SELECT *, row_number() OVER (PARTITION BY run "
+        "ORDER BY md5((run - 1) || '|' || id), id) AS nth FROM unheard, runs) WHERE nth <= (SELECT count(*) FROM heard)"
+    )
+    return f"""{HISTORY}, runs AS (SELECT unnest(range(1, {runs + 1})) AS run),
+        pool AS (SELECT run, NULL::BIGINT AS id, artist, track, count AS label, {f} FROM heard, runs {drawn if negatives else ""}),
+        ranked AS MATERIALIZED (
+            SELECT *, row_number() OVER (PARTITION BY run ORDER BY md5(concat_ws('|', run - 1, artist, track, id)), artist, track, id NULLS FIRST)
+                          <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY run)) AS is_test
+            FROM pool
+        ),
+        train AS MATERIALIZED (
+            SELECT *, row_number() OVER (PARTITION BY run ORDER BY artist, track, id NULLS FIRST) AS row_no FROM ranked WHERE NOT is_test
+        ),
+        asked AS MATERIALIZED (
+            SELECT *, -row_number() OVER (PARTITION BY run ORDER BY artist, track, id NULLS FIRST) AS row_no FROM ranked WHERE is_test
+        ),
+        {_grown("train", "asked", 200)},
+        errors AS (SELECT run, avg((label - predicted_count) ** 2) AS mse FROM asked JOIN predicted USING (run, row_no) GROUP BY run)
+    """
+
+
 def _top_requests(features: list[str]) -> str:
     return (
         "(SELECT user_id * 100 + pos AS request_id, p.name AS title, p.track_id, "
@@ -446,6 +537,35 @@ ORACLE: dict[str, str] = {
     "training_rows": f"WITH {HISTORY} SELECT CAST(NULL AS BIGINT) AS id, artist, track, count FROM heard "
     "UNION ALL SELECT id, artist, track, 0 FROM (SELECT *, row_number() OVER (ORDER BY "
     f"{_hash(7, 'id')}, id) AS nth FROM unheard) WHERE nth <= (SELECT count(*) FROM heard)",
+    "forest_recommendations": f"WITH RECURSIVE {HISTORY}, {_TRAINING}, train AS MATERIALIZED (SELECT 1 AS run, * FROM training), "
+    "asked AS MATERIALIZED (SELECT 1 AS run, -1 - row_number() OVER (ORDER BY id) AS row_no, * FROM unheard), "
+    + _grown("train", "asked", 200)
+    + "SELECT id, artist, track, " + _r("predicted_count", "predicted_count")
+    + " FROM predicted JOIN asked USING (run, row_no) ORDER BY round(predicted_count, 9) DESC, id LIMIT 20",
+    "forest_splits": f"WITH RECURSIVE {HISTORY}, {_TRAINING}, train AS MATERIALIZED (SELECT 1 AS run, * FROM training), "
+    "asked AS (SELECT * FROM train WHERE false), " + _grown("train", "asked", 1, 4)
+    + """, lines AS (
+            SELECT node, feature, value, lead(value) OVER line AS above, sum(w) OVER line AS l, sum(wy) OVER line AS ly,
+                   sum(w) OVER whole AS n, sum(wy) OVER whole AS total
+            FROM (SELECT node, feature, value, sum(w) AS w, sum(w * label) AS wy FROM steps JOIN cells USING (run, row_no)
+                  WHERE w > 0 AND node < 16 GROUP BY ALL)
+            WINDOW line AS (PARTITION BY node, feature ORDER BY value), whole AS (PARTITION BY node, feature)
+        ),
+        cuts AS (
+            SELECT node, feature, (value + above) / 2 AS threshold FROM lines
+            WHERE above IS NOT NULL AND node IN (SELECT node // 2 FROM leaves)
+            QUALIFY row_number() OVER (PARTITION BY node
+                ORDER BY ly * ly / l + (total - ly) * (total - ly) / (n - l) DESC, feature, value) = 1
+        )
+        SELECT node, feature, """ + _r("threshold", "threshold") + ", " + _r("value", "value")
+    + ", n FROM leaves LEFT JOIN cuts USING (node)",
+    "forest_evaluation": f"WITH RECURSIVE {_evaluated(50, True)} SELECT " + _r("avg(mse)", "mse") + ", " + _r("sqrt(avg(mse))", "rmse")
+    + " FROM errors",
+    "forest_without_negatives": f"WITH RECURSIVE {_evaluated(1, False)} SELECT run::INTEGER AS run, (run - 1)::INTEGER AS seed, "
+    + _r("mse", "mse") + " FROM runs LEFT JOIN errors USING (run)",
+    "forest_of_one_song": f"WITH {HISTORY} SELECT id, artist, track, (SELECT count FROM heard ORDER BY "
+    "md5('42|' || artist || '|' || track), artist, track LIMIT 1)::DOUBLE AS predicted_count "
+    "FROM unheard WHERE EXISTS (SELECT 1 FROM heard) ORDER BY id LIMIT 20",
     "sampled_tracks": f"WITH {MUSIC} SELECT * FROM music ORDER BY {_hash(42, 'track_id')}, track_id LIMIT 150",
     "split_tracks": f"WITH {MUSIC} SELECT *, row_number() OVER (ORDER BY {_hash(64, 'track_id')}, track_id) "
     "<= ceil(0.2 * count(*) OVER ()) AS is_test FROM music",

@@ -41,8 +41,6 @@ REGISTRY: dict[str, Query] = {}
 
 # Customers here have at most about 105 distinct tracks, so the usual limit of 100 would keep almost none.
 TRACK_LIMIT = 40
-# Repeats of the forest evaluation; the operator's own default is 50.
-FOREST_RUNS = 2
 
 
 def query(fn: Query) -> Query:
@@ -694,15 +692,15 @@ def _training(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @query
 def forest_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     heard, unheard = _training(spark, sf)
-    runs, _ = listener.evaluate_forest(heard, unheard, FEATURES_11, repeats=FOREST_RUNS)
-    return listener.error_summary(runs)
+    runs, _ = listener.evaluate_forest(heard, unheard, FEATURES_11)
+    return listener.error_summary(runs).select(_rounded("mse", "mse"), _rounded("rmse", "rmse"))
 
 
 @query
 def forest_without_negatives(spark: SparkSession, sf: str) -> DataFrame:
     heard, _ = _training(spark, sf)
     runs, _ = listener.evaluate_forest(heard, None, FEATURES_11, repeats=1)
-    return runs
+    return runs.select("run", "seed", _rounded("mse", "mse"))
 
 
 @query
@@ -711,7 +709,27 @@ def forest_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     rows = listener.training_rows(heard, unheard, FEATURES_11, 7)
     forest = listener.fit_forest(rows, FEATURES_11)
     return listener.forest_recommendations(forest, unheard).select(
-        "id", "artist", "track", "predicted_count"
+        "id", "artist", "track", _rounded("predicted_count", "predicted_count")
+    )
+
+
+@query
+def forest_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of one tree of depth 4, fitted on all songs of the listener."""
+    heard, unheard = _training(spark, sf)
+    rows = listener.training_rows(heard, unheard, FEATURES_11, 7)
+    tree = listener.fit_forest(rows, FEATURES_11, trees=1, max_depth=4).nodes
+    return tree.select("node", "feature", _rounded("threshold", "threshold"), _rounded("value", "value"), "n")
+
+
+@query
+def forest_of_one_song(spark: SparkSession, sf: str) -> DataFrame:
+    """A forest on a single song predicts that song's count everywhere."""
+    heard, unheard = _training(spark, sf)
+    song = sampling.sample_exactly(heard, ["artist", "track"], 1, listener.FOREST_SEED)
+    fitted = listener.constant_forest(song, FEATURES_11)
+    return listener.forest_recommendations(fitted, unheard).select(
+        "id", "artist", "track", _rounded("predicted_count", "predicted_count")
     )
 
 
