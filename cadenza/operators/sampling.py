@@ -21,7 +21,17 @@ def sample_negatives(unheard: DataFrame, positives: DataFrame, key: list[str], s
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+    """About ``fraction`` of the rows: those whose seeded hash lies below it, on any layout the same.
+
+    The hash is that of the row's values and, among equal rows, of its number: equal rows are counted first,
+    then each copy is drawn on its own.
+    """
+    values = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_copy").cast("string"), values))
+    share = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    return copies.where(share < fraction).select(*df.columns)
 
 
 def split_exactly(df: DataFrame, key: list[str], test_share: float, seed: int) -> DataFrame:

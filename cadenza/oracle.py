@@ -348,6 +348,79 @@ def _evaluated(runs: int, negatives: bool) -> str:
     """
 
 
+def _lloyd(ks: str, restarts: int = 10, seed: int = 64) -> str:
+    """CTEs up to ``fitted`` (k, restart, inertia) and ``finals`` (their centres): steps from hashed starts until none moves."""
+    z = ["z0", "z1", "z2", "z3"]
+    away = " + ".join(f"(p.{c} - c.{c}) * (p.{c} - c.{c})" for c in z)
+    near = (
+        f"SELECT c.k, c.restart, c.step, p.id, arg_min(c.cluster, ({away}, c.cluster)) AS cluster, min({away}) AS away, "
+        + ", ".join(f"any_value(p.{c}) AS {c}" for c in z)
+        + " FROM {centres} c, scaled p GROUP BY c.k, c.restart, c.step, p.id"
+    )
+    moved = ", ".join(f"coalesce(m.{c}, c.{c}) AS {c}" for c in z)
+    shift = " + ".join(f"(coalesce(m.{c}, c.{c}) - c.{c}) ** 2" for c in z)
+    return f"""{TRACKS}, {_z(FEATURES_4, 'tracks', 'id', 'scaled_rows')}, scaled AS MATERIALIZED (SELECT * FROM scaled_rows),
+        drawn AS (
+            SELECT restart, {", ".join(z)}, row_number() OVER (PARTITION BY restart
+                ORDER BY md5(({seed} + restart) || '|' || id), id) AS nth
+            FROM scaled, range({restarts}) AS r(restart)
+        ),
+        centres AS (
+            SELECT k, restart, 0 AS step, nth AS cluster, {", ".join(z)} FROM drawn, ({ks}) WHERE nth <= k
+            UNION ALL
+            SELECT k, restart, step + 1, cluster, {", ".join(z)} FROM (
+                SELECT c.k, c.restart, c.step, c.cluster, {moved}, max(sqrt({shift})) OVER (PARTITION BY c.k, c.restart) AS shift
+                FROM centres c LEFT JOIN (
+                    SELECT k, restart, cluster, {", ".join(f"avg({c}) AS {c}" for c in z)}
+                    FROM ({near.format(centres="centres")}) GROUP BY k, restart, cluster
+                ) m ON m.k = c.k AND m.restart = c.restart AND m.cluster = c.cluster
+            ) WHERE shift > 1e-9 AND step < 300
+        ),
+        finals AS MATERIALIZED (SELECT * FROM centres QUALIFY step = max(step) OVER (PARTITION BY k, restart)),
+        fitted AS (SELECT k, restart, sum(away) AS inertia FROM ({near.format(centres="finals")}) GROUP BY k, restart)
+    """
+
+
+_SQUARE = [(i, j) for i in range(4) for j in range(4)]
+
+
+def _projector(source: str, name: str) -> str:
+    """CTEs ``name`` (m00..m33): the projector on the first axis of the symmetric matrix in ``source``, by squaring it."""
+    trace = " + ".join(f"m{i}{i}" for i in range(4))
+    cells = ", ".join(f"{' + '.join(f'm{i}{k} * m{k}{j}' for k in range(4))} AS m{i}{j}" for i, j in _SQUARE)
+    scaled = ", ".join(f"m{i}{j} / ({trace}) AS m{i}{j}" for i, j in _SQUARE)
+    names = ", ".join(f"m{i}{j}" for i, j in _SQUARE)
+    return f"""{name}_steps AS (
+            SELECT 0 AS step, {scaled} FROM {source}
+            UNION ALL
+            SELECT step + 1, {scaled} FROM (SELECT step, {cells} FROM {name}_steps WHERE step < 60)
+        ),
+        {name} AS MATERIALIZED (SELECT {names} FROM {name}_steps WHERE step = 60)"""
+
+
+def _axis(projector: str, name: str) -> str:
+    """CTE ``name`` (v0..v3): the axis itself, its largest coefficient positive."""
+    row = {i: ", ".join(f"m{i}{j} / sqrt(m{i}{i}) AS v{j}" for j in range(4)) for i in range(4)}
+    largest = "greatest(m00, m11, m22, m33)"
+    pick = " UNION ALL ".join(f"SELECT {i} AS lead, {row[i]} FROM {projector} WHERE m{i}{i} = {largest}" for i in range(4))
+    return f"{name} AS (SELECT * FROM ({pick}) ORDER BY lead LIMIT 1)"
+
+
+def _flat() -> str:
+    means = ", ".join(f"avg({f}) AS a{i}" for i, f in enumerate(FEATURES_4))
+    moments = ", ".join(f"covar_pop({FEATURES_4[i]}, {FEATURES_4[j]}) AS m{i}{j}" for i, j in _SQUARE)
+    value = " + ".join(f"p.m{i}{j} * c.m{i}{j}" for i, j in _SQUARE)  # the eigenvalue is the trace of the product
+    rest = ", ".join(f"c.m{i}{j} - ({value}) * p.m{i}{j} AS m{i}{j}" for i, j in _SQUARE)
+
+    def along(axis: str) -> str:
+        return " + ".join(f"({f} - a{i}) * {axis}.v{i}" for i, f in enumerate(FEATURES_4))
+
+    return f"""WITH RECURSIVE {TRACKS}, means AS (SELECT {means} FROM tracks), moments AS (SELECT {moments} FROM tracks),
+        {_projector("moments", "first_of")}, {_axis("first_of", "one")},
+        deflated AS (SELECT {rest} FROM moments c, first_of p), {_projector("deflated", "second_of")}, {_axis("second_of", "two")}
+        SELECT id, {_r(along("one"), "pc1")}, {_r(along("two"), "pc2")} FROM tracks, means, one, two"""
+
+
 def _top_requests(features: list[str]) -> str:
     return (
         "(SELECT user_id * 100 + pos AS request_id, p.name AS title, p.track_id, "
@@ -486,10 +559,12 @@ ORACLE: dict[str, str] = {
     "track_id, (pos + 1) || '. ' || artist || ' - ' || p.name || ' | energy: ' || (round(energy, 1) + CAST(0 AS DOUBLE)) || "
     "', danceability: ' || (round(danceability, 1) + CAST(0 AS DOUBLE)) || ', tempo: ' || (round(tempo, 1) + CAST(0 AS DOUBLE)) AS line "
     "FROM top_tracks p JOIN tracks t ON t.id = p.track_id",
-    "paired_by_position": f"WITH {TRACKS}, {TOP_TRACKS}, records AS (SELECT user_id, row_number() OVER "
-    "(PARTITION BY user_id ORDER BY pos) - 1 AS pos, energy FROM top_tracks p JOIN tracks t "
-    "ON t.id = p.track_id) SELECT user_id, p.pos, CAST(track_id AS VARCHAR) AS track_id, "
-    f"{_r('energy', 'energy')} FROM top_tracks p JOIN records r USING (user_id, pos)",
+    "paired_by_position": f"WITH {TRACKS}, {LISTENS}, "
+    + TOP_TRACK_PARTS.replace("top_tracks AS (", "top_tracks AS MATERIALIZED (")
+    + ", records AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS pos, energy "
+    "FROM top_tracks p JOIN tracks t ON t.id = p.track_id) "
+    "SELECT p.user_id, p.pos, CAST(p.track_id AS VARCHAR) AS track_id, " + _r("CAST(r.energy AS DOUBLE)", "energy")
+    + " FROM top_tracks p JOIN records r ON r.user_id = p.user_id AND r.pos = p.pos",
     "item_neighbours": f"WITH {MATRIX}, {NEIGHBOURS} SELECT seed_id, track_id, CAST(rank AS INTEGER) AS rank, "
     f"{_r('score', 'score')} FROM ranked WHERE rank <= 10",
     "collaborative_recommendations": f"WITH {MATRIX}, {METADATA}, {MISSPELT}, {NEIGHBOURS}, "
@@ -575,4 +650,14 @@ ORACLE: dict[str, str] = {
     f"{_r('mse', 'mse')}, {_r('sqrt(mse)', 'rmse')} FROM errors",
     "total_inertia": f"WITH {TRACKS}, {_z(FEATURES_4, 'tracks', 'id', 'scaled')} SELECT CAST(1 AS INTEGER) "
     "AS k, " + _r("sum(z0 * z0 + z1 * z1 + z2 * z2 + z3 * z3)", "inertia") + " FROM scaled",
+    "track_clusters": f"WITH RECURSIVE {_lloyd('SELECT 5 AS k')}, best AS (SELECT k, restart FROM fitted ORDER BY round(inertia, 6), restart LIMIT 1) "
+    "SELECT p.id, name, CAST(arg_min(c.cluster, (" + " + ".join(f"(p.z{i} - c.z{i}) * (p.z{i} - c.z{i})" for i in range(4))
+    + ", c.cluster)) - 1 AS INTEGER) AS cluster FROM scaled p JOIN tracks t ON t.id = p.id, finals c JOIN best USING (k, restart) GROUP BY p.id, name",
+    "elbow": f"WITH RECURSIVE {_lloyd('SELECT unnest(range(1, 20))::INTEGER AS k')} SELECT k, " + _r("arg_min(inertia, (round(inertia, 6), restart))", "inertia")
+    + " FROM fitted GROUP BY k",
+    "projection_2d": _flat(),
+    "sampled_fraction": f"WITH {LISTENS} SELECT user_id, track_id, playcount FROM (SELECT user_id, track_id, playcount, "
+    "md5('64|' || row_number() OVER (PARTITION BY user_id, track_id, playcount) || '|{\"user_id\":' || user_id "
+    "|| ',\"track_id\":' || track_id || ',\"playcount\":' || playcount || '}') AS drawn FROM listens) "
+    "WHERE ('0x' || substr(drawn, 1, 13))::BIGINT / 4503599627370496 < 0.1::DOUBLE",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.listener import feature_table
+from cadenza.operators.numbering import number_within
 
 
 def _shown(c: str) -> Column:
@@ -40,9 +41,16 @@ def top_tracks_report(tracks: DataFrame, records: DataFrame) -> DataFrame:
     return tracks_with_features(tracks, records, shown).withColumn("line", report_line())
 
 
-def paired_by_position(tracks: DataFrame, records: DataFrame, within: list[str]) -> DataFrame:
-    """Pair the i-th track with the i-th record of the same list; surplus entries are dropped.
+def paired_by_position(
+    tracks: DataFrame, records: DataFrame, within: list[str], tracks_by: list[str], records_by: list[str]
+) -> DataFrame:
+    """Pair the i-th track with the i-th record of the same list, in the order of either side's columns.
 
-    Both tables carry ``pos``. For callers whose lists are known to be aligned; otherwise pair by id.
+    Lists are zipped to the shorter one: both sides are numbered ``place`` = 1, 2, ... within ``within``, by a
+    distributed sort, and rows without a partner are dropped. Lists with a missing name are never paired. For
+    callers whose lists are known to be aligned; otherwise pair by id.
     """
-    return tracks.join(records, [*within, "pos"])
+    named = " AND ".join(f"`{c}` IS NOT NULL" for c in within)
+    left = number_within(tracks.where(named), within, [F.col(c) for c in tracks_by], "place")
+    right = number_within(records.where(named), within, [F.col(c) for c in records_by], "place")
+    return left.join(right, [*within, "place"])

@@ -527,14 +527,15 @@ def top_tracks_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def paired_by_position(spark: SparkSession, sf: str) -> DataFrame:
+    """Each listener's tracks beside the records of those that have one: the trap of pairing by position."""
     mine = _top_tracks(spark, sf).select("user_id", "pos", "track_id")
-    order = Window.partitionBy("user_id").orderBy("pos")
-    known = star.tracks(spark, sf).select(F.col("id").cast("string").alias("track_id"), "energy")
     records = (
-        mine.join(known, "track_id")
-        .select("user_id", (F.row_number().over(order) - 1).alias("pos"), _rounded("energy", "energy"))
+        reports.tracks_with_features(mine, _feature_records(spark, sf), ["energy"])
+        .select("user_id", F.col("pos").alias("listed"), _rounded("energy", "energy"))
+    )
+    return reports.paired_by_position(mine, records, ["user_id"], ["pos"], ["listed"]).select(
+        "user_id", (F.col("place") - 1).cast("int").alias("pos"), "track_id", "energy"
     )
-    return reports.paired_by_position(mine, records, ["user_id"])
 
 
 # ---- collaborative and ensemble -----------------------------------------------------------------
@@ -670,7 +671,8 @@ def split_tracks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sampled_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_fraction(star.listens(spark, sf), 0.1, 64)
+    plays = star.listens(spark, sf).select("user_id", "track_id", "playcount")
+    return sampling.sample_fraction(plays, 0.1, 64)
 
 
 @query
@@ -744,8 +746,8 @@ def track_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def elbow(spark: SparkSession, sf: str) -> DataFrame:
-    """Largest k and restarts are below the operator's defaults (19 and 10), to bound the run time."""
-    return clusters.elbow_table(star.tracks(spark, sf), FEATURES_4, largest_k=6, restarts=2)
+    found = clusters.elbow_table(star.tracks(spark, sf), FEATURES_4)
+    return found.select("k", _rounded("inertia", "inertia"))
 
 
 @query
@@ -757,4 +759,5 @@ def total_inertia(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def projection_2d(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.project_2d(star.tracks(spark, sf), FEATURES_4)
+    flat = clusters.project_2d(star.tracks(spark, sf), FEATURES_4)
+    return flat.select("id", _rounded("pc1", "pc1"), _rounded("pc2", "pc2"))
