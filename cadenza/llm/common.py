@@ -35,6 +35,12 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), text_or_empty())
 
 
+def row_name() -> Column:
+    """Names a row by its id and text in 128 bits, where the name decides what is dropped."""
+    given = F.when(F.col("doc_id").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("doc_id").cast("string")))
+    return F.unhex(F.md5(F.concat(given, F.lit("|"), text_or_empty()).cast("binary")))
+
+
 def unused(rows: DataFrame, name: str) -> str:
     """``name``, lengthened until no column has it."""
     while name in rows.columns:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Hasher, Texts, drop_keys, mix, pieces, row_key, text_or_empty, unused
+from cadenza.llm.common import Hasher, Texts, drop_keys, mix, pieces, row_key, row_name, text_or_empty, unused
 from cadenza.session import materialize
 
 PIECE_WORDS = 64
@@ -328,12 +328,12 @@ class Finder:
             answer = common_words(piece.answer, around) / len(piece.answer) if len(piece.answer) else 0.0
             if (share >= FOUND or (share >= FOUND_WITH_ANSWER and answer >= ANSWER)) and (not have or share > have[1]):
                 best[text, piece.item] = (cosine, share, answer)
-        return [(text, item, *v) for (text, item), v in sorted(best.items())]
+        return [(text, item, *v) for (text, item), v in sorted(best.items(), key=lambda hit: (hit[0][0], hit[0][1] is not None, hit[0][1] or 0))]
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[Piece]]:
     """Pieces of the benchmark, the query set, INDEX_PIECES at a time; the driver reads one part of the sorted table after the other."""
-    items = benchmark.where("item_id is not null").select("item_id", folded().alias("text"))
+    items = benchmark.select("item_id", folded().alias("text"))
     held: list[Piece] = []
     for row in items.orderBy("item_id", "text").toLocalIterator():
         held += cut_items([row])
@@ -370,14 +370,15 @@ def _hits(documents: DataFrame, index: Index | None) -> DataFrame:
                 ["key", "doc_id", "item_id", "cosine", "found", "answer"],
             )
 
-    rows = documents.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), folded().alias("text"))
-    return rows.mapInArrow(run, "key long, doc_id long, item_id long, cosine double, found double, answer double")
+    rows = documents.select(row_name().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), folded().alias("text"))
+    return rows.mapInArrow(run, "key binary, doc_id long, item_id long, cosine double, found double, answer double")
 
 
 def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Returns doc_id, item_id, cosine, found, answer: one row for each document and item it holds.
 
-    Clean documents have no row, nor have null and empty texts; items without words or id are never found. A repeated
+    Clean documents have no row, nor have null and empty texts; items without words are never found. Items without an id
+    are searched like the others and reported together under a null item_id. A repeated
     row is reported as often as it occurs. Empty tables give no rows. Other columns are ignored.
 
     Each block of a larger benchmark takes a pass over the documents; only its index is held meanwhile.
@@ -399,25 +400,13 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that hold no benchmark item."""
-    name, told = unused(documents, "_folded"), None
-    key = unused(documents, "_key")
-    for index, last in indexes(documents, benchmark):
-        if told is None and last:
-            return _without(documents, index, name)
+    """The documents, with all their columns, that hold no benchmark item.
+
+    Only texts go through Python, and only names of rows come back; the rows themselves are dropped by name in the JVM.
+    Rows that repeat an id and text share their name, and hold the same items.
+    """
+    key, told = unused(documents, "_key"), None
+    for index, _ in indexes(documents, benchmark):
         hits = _hits(documents, index).select(F.col("key").alias(key))
         told = materialize((hits if told is None else told.union(hits)).distinct(), "block-keys")
-    return documents if told is None else drop_keys(documents.withColumn(key, row_key()), told, key).select(documents.columns)
-
-
-def _without(documents: DataFrame, index: Index, name: str) -> DataFrame:
-    """The documents that hold no item of one index, in one pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(index)
-        for batch, texts in pieces(batches, name):
-            keep = np.ones(texts.n, bool)
-            keep[[text for text, *_ in finder.find(texts)]] = False
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
-
-    return documents.select("*", folded().alias(name)).mapInArrow(run, documents.schema)
+    return documents if told is None else drop_keys(documents.withColumn(key, row_name()), told, key).select(documents.columns)
