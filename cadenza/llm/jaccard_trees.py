@@ -31,7 +31,9 @@ from cadenza.session import materialize
 
 SHINGLE = 5
 #: Bits of a signature for each shingle of the largest set of its band; bands of sizes grow by 4/3.
-BITS_EACH = 2
+BITS_EACH = 8
+#: Most bits of the signature that a bucket carries; the pairs that trees find are tested on the whole signatures.
+SKETCH = 2048
 #: Classes of one block, children of one tree node.
 BLOCK, FANOUT = 256, 8
 #: Turns with new centres before the trees. They only save the trees work; any number gives the same components.
@@ -112,17 +114,16 @@ def _widths(n: np.ndarray) -> np.ndarray:
     return 1 << np.maximum(6, np.ceil(np.log2(BITS_EACH * largest))).astype(np.int64)
 
 
-def _signatures(value: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> pa.Array:
-    """Bitmaps of the sets' shingles; null where not wanted."""
-    out: list[bytes | None] = []
-    for a, b, width, want in zip(at[:-1], at[1:], _widths(np.diff(at)).tolist(), wanted):
-        if want:
-            bits = np.zeros(width, np.uint8)
-            bits[(value[a:b] % np.uint64(width)).astype(np.int64)] = 1
-            out.append(np.packbits(bits).tobytes())
-        else:
-            out.append(None)
-    return pa.array(out, pa.binary())
+def _bitmap(value: np.ndarray, width: int) -> bytes:
+    bits = np.zeros(width, np.uint8)
+    bits[(value % np.uint64(width)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _signatures(value: np.ndarray, at: np.ndarray, wanted: np.ndarray, most: int = 1 << 62) -> pa.Array:
+    """Bitmaps of the sets' shingles, of ``most`` bits at most; null where not wanted."""
+    widths = np.minimum(_widths(np.diff(at)), most).tolist()
+    return pa.array([_bitmap(value[a:b], w) if want else None for a, b, w, want in zip(at[:-1], at[1:], widths, wanted)], pa.binary())
 
 
 def _folded(sigs: np.ndarray, width: int) -> np.ndarray:
@@ -151,7 +152,7 @@ def _frequent(documents: DataFrame) -> np.ndarray:
 
 
 def _sets(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """One row per document: doc_id, key, n, class, prefix, sig. A class seen before in the same piece has no prefix."""
+    """One row per document: doc_id, key, n, class, prefix, sig, sketch. A class seen before in the same piece has no prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
@@ -164,12 +165,13 @@ def _sets(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
             held = np.repeat(first, np.diff(cut))
             cut = np.concatenate([[0], np.cumsum(np.where(first, np.diff(cut), 0))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(cls, mask=n == 0), _lists(prefix[held], cut), _signatures(value, at, first)],
-                ["doc_id", "key", "n", "cls", "prefix", "sig"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(cls, mask=n == 0), _lists(prefix[held], cut),
+                 _signatures(value, at, first), _signatures(value, at, first, SKETCH)],
+                ["doc_id", "key", "n", "cls", "prefix", "sig", "sketch"],
             )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, key long, n long, cls long, prefix array<long>, sig binary")
+    return rows.mapInArrow(run, "doc_id long, key long, n long, cls long, prefix array<long>, sig binary, sketch binary")
 
 
 def _stars(tokens: DataFrame) -> DataFrame:
@@ -331,7 +333,7 @@ def _tree_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     A bucket of at most BLOCK sets is one row. A larger one is dealt into blocks of one size band each, and block meets
     block, so that no task holds a whole large bucket.
     """
-    sig = classes.select("cls", "sig")
+    sig = classes.select("cls", F.col("sketch").alias("sig"))
     one = F.struct("n", "cls", "comp", "sig")
     sizes = members.groupBy("token").agg(F.count("*").alias("m"))
     small = members.join(sizes.where(F.col("m") <= BLOCK).select("token"), "token", "left_semi").join(sig, "cls")
@@ -490,7 +492,8 @@ def _joined(documents: DataFrame, names: bool = False) -> DataFrame:
     """join, with key and root too where ``names`` is set."""
     docs = materialize(_sets(documents, _frequent(documents)), "tree-sets")
     classes = docs.where("n > 0").groupBy("cls").agg(
-        F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("n").alias("n"), F.first("sig", ignorenulls=True).alias("sig")
+        F.min("doc_id").alias("least"), F.min("key").alias("key"), F.max("n").alias("n"), F.first("sig", ignorenulls=True).alias("sig"),
+        F.first("sketch", ignorenulls=True).alias("sketch"),
     )
     classes = materialize(classes, "tree-classes")
     tokens = docs.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "cls", "n")
@@ -515,7 +518,8 @@ def _joined(documents: DataFrame, names: bool = False) -> DataFrame:
                 break
             tested = tested.union(asked)
             roots = _merged(roots, materialize(_linked(_possible(asked, classes), classes, documents), "tree-links"))
-        more = _linked(_tree_pairs(_open(members, roots), classes).join(tested, ["a", "b"], "left_anti"), classes, documents)
+        asked = _tree_pairs(_open(members, roots), classes).join(tested, ["a", "b"], "left_anti")
+        more = _linked(_possible(asked, classes), classes, documents)
         roots = _merged(roots, materialize(more, "tree-more"))
     named = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     named = materialize(named.select("cls", "least", F.coalesce("root", "cls").alias("root")), "tree-roots")
