@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import has_text
@@ -12,41 +12,65 @@ from cadenza.operators.numbering import number_within
 LOCAL, EXTERNAL, NOT_FOUND = "local", "external", "not_found"
 
 
-def _pieces(text: str, length: str):
-    """All distinct parts of ``text`` that have the given length."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.col(length) + 1, F.lit(1)))
-    cut = F.transform(starts, lambda i: F.col(text).substr(i, F.col(length)))
-    return F.when(F.col(length) <= F.length(text), F.array_distinct(cut))
+GRAM = 3
+
+
+def _grams(text: str, size: Column) -> Column:
+    """All distinct parts of ``text`` that have the given length, none if it is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    cut = F.array_distinct(F.transform(starts, lambda i: F.col(text).substr(i, size)))
+    return F.when(F.length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
+
+
+def containing(words: DataFrame, texts: DataFrame, within: list[str]) -> DataFrame:
+    """Pairs (``within``, word, text) where the text contains the word: an index of three-character parts.
+
+    ``words`` has ``within`` and word, ``texts`` has ``within`` and text, both distinct. A text is listed under its
+    distinct parts, a word looks only under its rarest one, and what it finds there is verified. Words of fewer
+    characters look under themselves; parts of such sizes are listed only if a word needs them.
+    """
+    words = words.where("word IS NOT NULL")
+    size = F.least(F.length("word"), F.lit(GRAM))
+    sizes = [r[0] for r in words.select(size).distinct().collect()]  # 0 to GRAM, so at most four
+    parts = F.array_distinct(F.flatten(F.array(*[_grams("text", F.lit(n)) for n in sorted(sizes)] or [F.array().cast("array<string>")])))
+    index = texts.select(*within, "text", F.explode(parts).alias("gram"))
+    listed = index.groupBy(*within, "gram").agg(F.count("*").alias("texts"))
+    rarest = (
+        words.select(*within, "word", F.explode(_grams("word", size)).alias("gram"))
+        .join(listed, [*within, "gram"], "left")
+        .groupBy(*within, "word")
+        .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("_rare"))
+        .where("_rare.texts > 0")
+        .select(*within, "word", F.col("_rare.gram").alias("gram"))
+    )
+    return (
+        rarest.join(index, [*within, "gram"])
+        .where(F.contains("text", F.col("word")))
+        .select(*within, "word", "text")
+    )
 
 
 def first_matches(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Lowest track id whose title equals the request and whose artist text contains its artist.
 
-    Containment is turned into equality: artist texts are cut into parts of just the lengths that are
-    asked for under the same title, and the parts are matched by an equi-join. Requests and artist texts
-    are made distinct first, so a title shared by very many rows costs one entry per distinct artist.
+    Containment is looked up in the artist texts of the same title. Requests and artist texts are made distinct
+    first, so a title shared by very many rows costs one entry per distinct artist.
     """
-    wanted = requests.select(
-        F.lower("title").alias("title_key"), F.lower("artist").alias("artist_key")
-    ).distinct()
-    lengths = wanted.groupBy("title_key").agg(F.collect_set(F.length("artist_key")).alias("lengths"))
-    texts = catalogue.groupBy(
-        F.lower("name").alias("title_key"), F.lower("artists").alias("text")
-    ).agg(F.min("id").alias("track_id"))
-    parts = (
-        texts.join(lengths, "title_key")
-        .select("title_key", "track_id", "text", F.explode("lengths").alias("size"))
-        .select("title_key", "track_id", F.explode(_pieces("text", "size")).alias("artist_key"))
+    wanted = requests.select(F.lower("title").alias("title_key"), F.lower("artist").alias("word")).distinct()
+    tracks = catalogue.groupBy(F.lower("name").alias("title_key"), F.lower("artists").alias("text")).agg(
+        F.min("id").alias("track_id")
     )
+    asked = tracks.join(wanted.select("title_key").distinct(), "title_key", "left_semi")
     found = (
-        parts.join(wanted, ["title_key", "artist_key"])
-        .groupBy("title_key", "artist_key")
+        containing(wanted, asked.where("text IS NOT NULL").select("title_key", "text"), ["title_key"])
+        .join(tracks, ["title_key", "text"])
+        .groupBy("title_key", "word")
         .agg(F.min("track_id").alias("track_id"))
     )
     return (
         requests.withColumn("title_key", F.lower("title"))
-        .withColumn("artist_key", F.lower("artist"))
-        .join(found, ["title_key", "artist_key"])
+        .withColumn("word", F.lower("artist"))
+        .join(found, ["title_key", "word"])
         .select("request_id", "track_id")
     )
 
@@ -61,22 +85,14 @@ def search_catalogue(
 def list_matches(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Every track whose title and artist text contain those of the request, numbered 1..m by id.
 
-    Titles are cut into parts of the lengths that occur among the requested titles and joined on
-    equality. The numbering is spread over sorted slices, so a word that fits very many tracks does not
-    end up in one task.
+    Titles are found through their rarest part in common with the requested word. The numbering is spread over
+    sorted slices, so a word that fits very many tracks does not end up in one task.
     """
     asked = requests.select(
         F.lower("title").alias("word"), F.lower("artist").alias("artist_word"), "request_id"
     )
-    words = asked.select("word").distinct()
-    # Distinct text lengths: never more than the longest title has characters.
-    lengths = [r[0] for r in words.select(F.length("word")).where("word is not null").distinct().collect()]
-    titles = catalogue.select(F.lower("name").alias("title_key")).distinct()
-    hits = (
-        titles.withColumn("size", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])))
-        .select("title_key", F.explode(_pieces("title_key", "size")).alias("word"))
-        .join(words, "word")
-    )
+    titles = catalogue.select(F.lower("name").alias("text")).where("text IS NOT NULL").distinct()
+    hits = containing(asked.select("word").distinct(), titles, []).withColumnRenamed("text", "title_key")
     tracks = catalogue.select(
         F.col("id").alias("track_id"), "name", "artists", F.lower("name").alias("title_key")
     )

@@ -661,3 +661,20 @@ ORACLE: dict[str, str] = {
     "|| ',\"track_id\":' || track_id || ',\"playcount\":' || playcount || '}') AS drawn FROM listens) "
     "WHERE ('0x' || substr(drawn, 1, 13))::BIGINT / 4503599627370496 < 0.1::DOUBLE",
 }
+
+ORACLE |= {
+    "catalogue_csv": ORACLE["catalogue_scan"],
+    "music_csv": f"WITH {MUSIC} SELECT * FROM music",
+    "listens_csv": f"WITH {LISTENS} SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS n, sum(playcount)::BIGINT AS plays "
+    "FROM listens GROUP BY 1",
+    "scrobbles_csv": ORACLE["play_counts"],
+    "track_metadata_landed": ORACLE["track_metadata"],
+    "interactions_landed": ORACLE["interaction_matrix"],
+    "listeners_per_track_bucketed": "WITH rows AS ("
+    + ORACLE["interaction_matrix"]
+    + ") SELECT track_id, count(*) AS listeners, sum(reach)::BIGINT AS reached "
+    "FROM (SELECT track_id, count(*) OVER (PARTITION BY user_id) AS reach FROM rows) GROUP BY track_id",
+    "history_csv": ORACLE["listener_history"],
+    "recommendations_landed": "SELECT request_id, 'cosine' AS model, rank, track_id, name, artists AS artist, score, line FROM ("
+    + ORACLE["cosine_tracks"] + ")",
+}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.functions import text
 from cadenza.functions.fuzzy import fuzzy_ratio
@@ -32,8 +34,8 @@ from cadenza.schema import (
     SEARCH_PAYLOAD,
     TOP_TRACKS_PAYLOAD,
 )
-from cadenza.session import materialize
-from cadenza.sources import payloads
+from cadenza.session import materialize, shared_dir
+from cadenza.sources import files, landing, payloads
 from cadenza.sources import star_tables as star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +107,89 @@ def table_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---- files there and back -----------------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _csv(df: DataFrame, name: str) -> str:
+    """The folder of a published CSV table, as an export would deliver it."""
+    place = _place(df.sparkSession, name)
+    landing.publish(df, place, "csv", header="true", escape='"')
+    return landing.published_folder(df.sparkSession, place)
+
+
+@query
+def catalogue_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue written as CSV, published, and read by name and declared type."""
+    back = files.read_tracks(spark, _csv(star.tracks(spark, sf), "tracks"), keep_others=False)
+    return back.select(F.col("id").cast("long").alias("id"), "name", "artists", *[_rounded(f, f) for f in FEATURES_11])
+
+
+@query
+def music_csv(spark: SparkSession, sf: str) -> DataFrame:
+    back = files.read_music_info(spark, _csv(star.music_info(spark, sf), "music"))
+    return back.select(F.col("track_id").cast("long").alias("track_id"), "name", "artist")
+
+
+@query
+def listens_csv(spark: SparkSession, sf: str) -> DataFrame:
+    plays = star.listens(spark, sf).select("user_id", "track_id", F.col("playcount").cast("long").alias("playcount"))
+    back = files.read_listens(spark, _csv(plays, "listens"))
+    return back.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("playcount").alias("plays"))
+
+
+@query
+def scrobbles_csv(spark: SparkSession, sf: str) -> DataFrame:
+    messy = star.scrobbles(spark, sf).toDF(" Artist", "TRACK ")
+    return listener.play_counts(files.read_scrobbles(spark, _csv(messy, "scrobbles")))
+
+
+@query
+def track_metadata_landed(spark: SparkSession, sf: str) -> DataFrame:
+    place = _place(spark, "metadata")
+    files.write_track_metadata(interactions.track_metadata(_interactions(spark, sf), star.music_info(spark, sf)), place)
+    return files.read_track_metadata(spark, place)
+
+
+@query
+def interactions_landed(spark: SparkSession, sf: str) -> DataFrame:
+    place = _place(spark, "matrix")
+    files.write_interactions(_interactions(spark, sf), place)
+    return files.read_interactions(spark, place)
+
+
+@query
+def listeners_per_track_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix as a table bucketed by user, joined on users without moving it: tracks per listener beside each row."""
+    name = f"matrix_{uuid.uuid4().hex}"
+    files.write_interactions_table(_interactions(spark, sf), name, 8, path=_place(spark, name))
+    matrix = files.read_interactions_table(spark, name)
+    return interactions.with_listener_reach(matrix).groupBy("track_id").agg(
+        F.count("*").alias("listeners"), F.sum("reach").alias("reached")
+    )
+
+
+@query
+def history_csv(spark: SparkSession, sf: str) -> DataFrame:
+    place = _place(spark, "history")
+    files.write_history(_history(spark, sf), place)
+    back = files.read_csv(spark, place, T.StructType([T.StructField(f, T.DoubleType()) for f in FEATURES_11]), keep_others=True)
+    return back.select("artist", "track", F.col("count").cast("long").alias("count"), "spotify_id", *[_rounded(f, f) for f in FEATURES_11])
+
+
+@query
+def recommendations_landed(spark: SparkSession, sf: str) -> DataFrame:
+    tracks = star.tracks(spark, sf)
+    hits = recommend.cosine_recommendations(_self_requests(tracks, FEATURES_4), tracks, FEATURES_4, 3)
+    place = _place(spark, "recommendations")
+    files.write_recommendations(hits.withColumn("model", F.lit("cosine")).withColumnRenamed("artists", "artist"), place)
+    back = landing.published(spark, place)
+    return back.withColumn("score", _rounded("score", "score"))
+
+
 # ---- cleaning, de-duplication, joins ----------------------------------------------------------
 
 

@@ -15,6 +15,7 @@ from cadenza.schema import (
     TRACKS,
     require_columns,
 )
+from cadenza.sources.landing import publish, published
 
 
 def read_csv(
@@ -73,40 +74,51 @@ def read_scrobbles_mbid(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, SCROBBLES_MBID, keep_others=True)
 
 
-def land(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
-    """Store a table as Parquet once and continue from it."""
-    df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def land(df: DataFrame, path: str) -> DataFrame:
+    """Store a table as Parquet and continue from it: written beside, verified, then published."""
+    return publish(df, path)
 
 
-def write_track_metadata(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_track_metadata(df: DataFrame, path: str) -> None:
     require_columns(df, ["track_id", "name", "artist"], "track metadata")
-    df.select("track_id", "name", "artist").write.mode(mode).parquet(path)
+    publish(df.select("track_id", "name", "artist"), path)
 
 
 def read_track_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return require_columns(spark.read.parquet(path), ["track_id", "name", "artist"], path)
+    return require_columns(published(spark, path), ["track_id", "name", "artist"], path)
 
 
-def write_interactions(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_interactions(df: DataFrame, path: str) -> None:
     require_columns(df, ["track_id", "user_id", "playcount"], "interactions")
-    df.select("track_id", "user_id", "playcount").write.mode(mode).parquet(path)
+    publish(df.select("track_id", "user_id", "playcount"), path)
 
 
-def write_interactions_table(df: DataFrame, name: str, buckets: int, mode: str = "errorifexists") -> None:
-    """Bucketed by user, so that scoring joins on shared listeners need no shuffle of this side."""
+def read_interactions(spark: SparkSession, path: str) -> DataFrame:
+    return require_columns(published(spark, path), ["track_id", "user_id", "playcount"], path)
+
+
+def write_interactions_table(
+    df: DataFrame, name: str, buckets: int, mode: str = "errorifexists", path: str | None = None
+) -> None:
+    """Bucketed and sorted by user, so that joins and sums over listeners need no shuffle of this side.
+
+    The files go to ``path``, or to the warehouse without one.
+    """
     require_columns(df, ["track_id", "user_id", "playcount"], "interactions")
+    place = {"path": path} if path else {}
     (
         df.select("track_id", "user_id", "playcount")
+        .repartition(buckets, "user_id")  # the same hash as the buckets': one file each
         .write.mode(mode)
+        .options(**place)
         .bucketBy(buckets, "user_id")
         .sortBy("user_id")
         .saveAsTable(name)
     )
 
 
-def read_interactions(spark: SparkSession, path: str) -> DataFrame:
-    return require_columns(spark.read.parquet(path), ["track_id", "user_id", "playcount"], path)
+def read_interactions_table(spark: SparkSession, name: str) -> DataFrame:
+    return require_columns(spark.table(name), ["track_id", "user_id", "playcount"], name)
 
 
 def write_history(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -114,7 +126,7 @@ def write_history(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def write_recommendations(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_recommendations(df: DataFrame, path: str) -> None:
     columns = ["request_id", "model", "rank", "track_id", "name", "artist", "score", "line"]
     require_columns(df, columns, "recommendations")
-    df.select(*columns).write.mode(mode).parquet(path)
+    publish(df.select(*columns), path)
