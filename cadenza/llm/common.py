@@ -41,6 +41,11 @@ def row_name() -> Column:
     return F.unhex(F.md5(F.concat(given, F.lit("|"), text_or_empty()).cast("binary")))
 
 
+def text_name() -> Column:
+    """Names a text in 128 bits; null counts as empty."""
+    return F.unhex(F.md5(text_or_empty().cast("binary")))
+
+
 def unused(rows: DataFrame, name: str) -> str:
     """``name``, lengthened until no column has it."""
     while name in rows.columns:

@@ -7,11 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import BROADCAST_KEYS, text_or_empty
+from cadenza.llm.common import BROADCAST_KEYS, text_name, text_or_empty
 from cadenza.operators.numbering import number_rows
+from cadenza.session import materialize
 
 #: Bits per dimension; three dimensions make an index below 2**18.
 BITS = 6
+#: Tasks that the rows of one text are dealt to where its group is looked up.
+SALT = 16
 
 
 #: Columns of the result; carried columns of these names give way to them.
@@ -63,30 +66,50 @@ def _size_cell(size: Column) -> Column:
     return F.least(F.floor(F.log2(size.cast("double")) * F.lit(2)), F.lit((1 << BITS) - 1)).cast("long")
 
 
+def _group_places(documents: DataFrame) -> DataFrame:
+    """name (of a text), group: the least lang and source of texts whose rows do not all have the same ones."""
+    place = F.struct("lang", "source")
+    groups = documents.select(text_name().alias("name"), place.alias("place")).groupBy("name").agg(F.min("place").alias("group"), F.max("place").alias("_most"))
+    return materialize(groups.where(~F.col("group").eqNullSafe(F.col("_most"))).select("name", "group"), "shard-groups")
+
+
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the ``group`` of their text (``_name``), null if it has none. The commonest text is met in SALT tasks."""
+    if groups.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(groups), F.col("_name") == F.col("name"), "left").drop("name")
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(SALT))
+    return rows.join(salted, (F.col("_name") == F.col("name")) & (own == F.col("salt")), "left").drop("name", "salt")
+
+
 def shard(documents: DataFrame, n_shards: int = 16, carry: list[str] | None = None) -> DataFrame:
     """Shards of equal row counts (at most one apart), each a run of the Hilbert curve over lang, source and size.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot, grown_shard (always null: this law
-    moves rows when a shard is added), curve, lang, source, and the columns in ``carry``. The order inside a
-    curve cell is text_crc32, then doc_id; rows repeated whole get neighbouring slots. A null text has size 1 and the
+    moves rows when a shard is added), curve, lang, source, and the columns in ``carry``. Rows of equal texts lie in one
+    cell, that of their least lang and source, and follow each other; only the end of a shard parts them. The order
+    inside a cell is text_crc32, then text, then doc_id; rows repeated whole get neighbouring slots. A null text has size 1 and the
     CRC of no bytes; null lang and source are the lowest cells; a null doc_id comes first. Tables smaller
     than ``n_shards`` leave shards empty; an empty table gives no rows.
     """
     carry = [c for c in carry or [] if c not in OUT]
     text = text_or_empty()
     rows = documents.select(
-        "doc_id", "lang", "source", (F.octet_length(text).cast("long") + 1).alias("_size"), F.crc32(text).alias("_crc"),
+        "doc_id", "lang", "source", (F.octet_length(text).cast("long") + 1).alias("_size"), F.crc32(text).alias("_crc"), text_name().alias("_name"),
         *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
+    rows = _with_group(rows, _group_places(documents))
     for column in ("lang", "source"):
-        rows = rows.join(_cells(documents, column), F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
+        own = F.when(F.col("group").isNull(), F.col(column)).otherwise(F.col(f"group.{column}"))
+        rows = rows.withColumn(f"_own_{column}", own)
+        rows = rows.join(_cells(documents, column), F.col(f"_own_{column}").eqNullSafe(F.col("_value")), "left").drop("_value")
 
     @F.pandas_udf("long")
     def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([a, b, c], axis=1), BITS))
 
     rows = rows.withColumn("_curve", curve("_lang", "_source", _size_cell(F.col("_size"))))
-    ordered = number_rows(rows, [F.col("_curve"), F.col("_crc"), F.col("doc_id").asc_nulls_first()], "_no")
+    ordered = number_rows(rows, [F.col("_curve"), F.col("_crc"), F.col("_name"), F.col("doc_id").asc_nulls_first()], "_no")
     total = ordered.count()
     # Shard k holds the places from ceil(k * total / n_shards) on.
     ordered = ordered.withColumn("_place", F.col("_no") - 1)
