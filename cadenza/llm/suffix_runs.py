@@ -249,14 +249,34 @@ def _send_spans(documents: DataFrame, n_parts: int, crowded: np.ndarray) -> Data
     return documents.select("id", F.xxhash64("text").alias("same"), "text").mapInArrow(run, _SENT)
 
 
+def _one_part_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each part in turn: a task may get several parts, sorted, but holds one."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            if end == start:
+                continue
+            if held and part[start] != now:
+                yield held
+                held = []
+            now = part[start]
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield held
+
+
 def _answer_spans(sent: DataFrame, wide: int) -> DataFrame:
     """For each id the spans that a smaller id holds whole, and the open spans.
 
     One number: the hash in 48 bits, a bit per group that is to go window by window, a bit per open group, the kind.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "mark"]
+    names = ["id", "mark"]
+
+    def answer(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
             for row in batch.filter(batch.column("id").is_valid()).select(["id", "span"]).to_pylist():
@@ -296,7 +316,11 @@ def _answer_spans(sent: DataFrame, wide: int) -> DataFrame:
         who = np.concatenate([ids[settled], ids[first[open_ > 0]]])
         yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(marks.astype(np.int64))], names)
 
-    answers = sent.repartition("part").mapInArrow(run, "id long, mark long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _one_part_at_a_time(batches):
+            yield from answer(part)
+
+    answers = sent.repartition("part").sortWithinPartitions("part").mapInArrow(run, "id long, mark long")
     return answers.groupBy("id").agg(F.collect_set("mark").alias("marks"))
 
 
@@ -483,7 +507,7 @@ def _merge_open(cut: DataFrame) -> DataFrame:
                 if least[span[j : j + WIDTH]] < one:
                     out.setdefault(key, []).extend((lo + j, lo + j + WIDTH))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         found = [_decode(row) for batch in batches for row in batch.to_pylist()]
         out: dict[int, list[int]] = {}
         group: list[tuple[bytes, int, int, int]] = []
@@ -494,12 +518,16 @@ def _merge_open(cut: DataFrame) -> DataFrame:
             _, _, before, ids, keys, lo = found[i]
             group.append((before[j] + suffix, ids[j], keys[j], lo[j]))
         compare(group, out)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(list(out), pa.int64()), pa.array([np.array(v, np.int64).tobytes() for v in out.values()], pa.binary())], ["key", "more"]
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _one_part_at_a_time(batches):
+            yield merge(part)
+
     runs = cut.where("kind = 1").select("part", "shared", "rest", "length", "before", "at", "ids", "keys", "lo")
-    return runs.repartition("part").mapInArrow(run, "key long, more binary").groupBy("key").agg(F.collect_list("more").alias("more"))
+    return runs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, more binary").groupBy("key").agg(F.collect_list("more").alias("more"))
 
 
 def _remove(texts: DataFrame) -> DataFrame:
