@@ -296,3 +296,32 @@ def test_mix_keeps_large_ids_beside_a_null(spark):
     assert {r.doc_id for r in balance.mix(docs).collect()} == set(ids)
     named = spark.createDataFrame([("x", "a b", "s"), (None, "c d", "s")], "doc_id string, text string, source string")
     assert {r.doc_id for r in balance.mix(named).collect()} == {"x", None}
+
+
+def test_equal_texts_lie_together_whatever_their_source(spark, monkeypatch):
+    from cadenza.llm import hilbert
+
+    rows = [(i, f"text number {i}" * (1 + i % 5), ["en", "de", None][i % 3], f"s{i % 7}") for i in range(200)]
+    rows += [(1000 + i, "the same text everywhere", ["en", "fr", None][i % 3], f"s{i % 6}") for i in range(32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    found = hilbert.shard(docs, 16).collect()
+    shards = {r.shard for r in found if r.doc_id >= 1000}
+    assert len(shards) <= 4  # 32 rows in shards of 14 or 15
+    assert len({r.curve for r in found if r.doc_id >= 1000}) == 1
+    assert all(r.lang == rows[r.doc_id][2] and r.source == rows[r.doc_id][3] for r in found if r.doc_id < 200)
+    monkeypatch.setattr(hilbert, "BROADCAST_KEYS", -1)
+    assert {(r.doc_id, r.shard, r.slot) for r in hilbert.shard(docs, 16).collect()} == {(r.doc_id, r.shard, r.slot) for r in found}
+
+
+def test_items_without_an_id_are_searched(spark):
+    from cadenza.llm import decontamination
+
+    chance = random.Random(9)
+    words = ["w%d" % i for i in range(300)]
+    item = " ".join(chance.choices(words, k=40))
+    docs = [(i, " ".join(chance.choices(words, k=80))) for i in range(30)] + [(50, f"one two {item} three"), (None, f"{item} four")]
+    docs = spark.createDataFrame([(*d, "en", "s", 1, "clash") for d in docs], "doc_id long, text string, lang string, source string, n_chars long, _key string")
+    items = spark.createDataFrame([(None, item), (7, " ".join(chance.choices(words, k=40)))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find(docs, items).collect()} == {(50, None), (None, None)}
+    kept = decontamination.clean(docs, items)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(30))
