@@ -677,4 +677,6 @@ ORACLE |= {
     "history_csv": ORACLE["listener_history"],
     "recommendations_landed": "SELECT request_id, 'cosine' AS model, rank, track_id, name, artists AS artist, score, line FROM ("
     + ORACLE["cosine_tracks"] + ")",
+    "staged_search_rows": "SELECT * FROM (" + ORACLE["search_payload_rows"] + ") WHERE request_id % 7 <> 0",
+    "staged_search_malformed": f"WITH {REQUESTS} SELECT request_id, 9 AS n_chars FROM requests WHERE request_id % 7 = 0",
 }

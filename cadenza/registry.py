@@ -596,6 +596,28 @@ def search_payload_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _search_hits(spark, sf)
 
 
+def _staged_searches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Search answers staged by request; those of every seventh request were cut off on the way."""
+    answers = star.search_payloads(spark, sf)
+    cut = F.when(F.col("request_id") % 7 == 0, F.substring("body", 1, 9)).otherwise(F.col("body"))
+    place = _place(spark, "searches")
+    payloads.stage(answers.withColumn("body", cut), place)
+    return payloads.staged(spark, place, SEARCH_PAYLOAD)
+
+
+@query
+def staged_search_rows(spark: SparkSession, sf: str) -> DataFrame:
+    good, _ = _staged_searches(spark, sf)
+    hits = payloads.search_hits(good.withColumnRenamed("key", "request_id"))
+    return hits.withColumn("request_id", F.col("request_id").cast("long"))
+
+
+@query
+def staged_search_malformed(spark: SparkSession, sf: str) -> DataFrame:
+    _, malformed = _staged_searches(spark, sf)
+    return malformed.select(F.col("key").cast("long").alias("request_id"), F.length("body").alias("n_chars"))
+
+
 @query
 def id_batches(spark: SparkSession, sf: str) -> DataFrame:
     return payloads.id_batches(star.music_info(spark, sf), "track_id")

@@ -13,6 +13,8 @@ from cadenza.schema import FEATURE_PAYLOAD, SEARCH_PAYLOAD, TOP_TRACKS_PAYLOAD
 # Ids per feature request, songs in a top-tracks answer.
 IDS_PER_CALL = 40
 TOP_TRACKS = 20
+#: Folders of a staged table.
+STAGE_BUCKETS = 64
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -82,6 +84,39 @@ def id_batches(ids: DataFrame, column: str, size: int = IDS_PER_CALL) -> DataFra
     )
 
 
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(STAGE_BUCKETS)).cast("int")
+
+
+def stage(answers: DataFrame, path: str, key: str = "request_id", body: str = "body") -> None:
+    """Keep answers as JSON text under the request they belong to, in folders by a hash of it.
+
+    A lookup of some requests then opens the files of their folders alone.
+    """
+    text = answers.select(F.col(key).cast("string").alias("key"), F.col(body).alias("body"), _bucket(key).alias("bucket"))
+    text.repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def staged(spark: SparkSession, path: str, schema: T.StructType, keys: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """Staged answers as (documents, malformed): key and the declared fields, and key and body of what is no such document.
+
+    ``keys`` picks requests; only the folders they hash to are read. A missing body is malformed, an empty
+    object is a document without fields, and so is a document with fields of other types under those names.
+    """
+    layout = "key string, body string, bucket int"
+    rows = spark.read.schema(layout).parquet(path)
+    if keys is not None:
+        picked = spark.range(1).select(F.explode(F.array(*[F.lit(str(k)) for k in keys])).alias("key"))
+        buckets = [r[0] for r in picked.select(_bucket("key")).distinct().collect()]  # one number a key asked for
+        rows = rows.where(F.col("bucket").isin(buckets) & F.col("key").isin([str(k) for k in keys]))
+    corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    options = {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}
+    parsed = rows.select("key", "body", F.from_json("body", corrupt, options).alias("_doc"))
+    bad = F.col("_doc").isNull() | F.col("_doc._corrupt").isNotNull()
+    good = parsed.where(~bad).select("key", *[F.col(f"_doc.{f.name}").alias(f.name) for f in schema.fields])
+    return good, parsed.where(bad).select("key", "body")
+
+
 def read_feature_records(spark: SparkSession, path: str) -> DataFrame:
     return feature_records(read_json(spark, path, FEATURE_PAYLOAD))
 

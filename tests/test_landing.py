@@ -57,3 +57,23 @@ def test_containment_equals_brute_force(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(g, word, text) for g, word in w for h, text in t if word is not None and g == h and word in text}
+
+
+def test_staged_answers_are_pruned_and_malformed_ones_set_aside(spark, tmp_path):
+    from cadenza.schema import SEARCH_PAYLOAD
+    from cadenza.sources import payloads
+
+    place = str(tmp_path / "staged")
+    whole = '{"tracks": {"items": [{"id": "t%d", "name": "n", "artists": [{"name": "a"}]}]}}'
+    rows = [(i, whole % i) for i in range(200)] + [(300, whole[:20]), (301, None), (302, ""), (303, "{}"), (304, "[1]")]
+    payloads.stage(spark.createDataFrame(rows, "request_id long, body string"), place)
+    good, malformed = payloads.staged(spark, place, SEARCH_PAYLOAD)
+    assert {r.key for r in malformed.collect()} == {"300", "301", "302", "304"}
+    hits = {r.key: r.track_id for r in payloads.search_hits(good).collect()}
+    assert len(hits) == 201 and hits["17"] == "t17" and hits["303"] is None
+    some, _ = payloads.staged(spark, place, SEARCH_PAYLOAD, keys=[17, 18])
+    assert {r.key for r in some.collect()} == {"17", "18"}
+    files_read = {f for f in some.select(F.input_file_name().alias("f")).distinct().toPandas()["f"]}
+    assert 1 <= len(files_read) <= 2 < len(good.inputFiles())
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
