@@ -233,8 +233,13 @@ def _may_pair(sig_a: np.ndarray, n_a: np.ndarray, sig_b: np.ndarray, n_b: np.nda
     return may_link((a, a, n_a, n_a, i, i), i, (b, b, n_b, n_b, i + len(i), i + len(i)), i)
 
 
+def _touched(pairs: DataFrame) -> DataFrame:
+    """The classes in pairs that are already written, each once."""
+    return materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "tree-touched")
+
+
 def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b: classes) that sizes and bitmaps do not rule out."""
+    """Pairs (a, b: classes; already written) that sizes and bitmaps do not rule out. Only bitmaps in question are moved."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,16 +250,16 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep[rows] = _may_pair(_matrix([sig_a[i] for i in rows]), n_a[rows], _matrix([sig_b[i] for i in rows]), n_b[rows])
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    one = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    few = keep_keys(classes.select("cls", "n", "sig"), _touched(pairs), "cls")
+    one = few.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    two = few.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     return pairs.join(one, "a").join(two, "b").mapInArrow(test, "a long, b long")
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """Pairs (a, b: classes) whose sets have 4 * intersection >= 3 * union, counted shingle by shingle."""
     pairs = materialize(pairs, "tree-asked")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    keys = materialize(classes.join(asked, "cls").select("key"), "tree-keys")
+    keys = materialize(keep_keys(classes.select("cls", "key"), _touched(pairs), "cls").select("key"), "tree-keys")
     sets = materialize(_whole_sets(documents, keys).dropDuplicates(["cls"]), "tree-whole")
     one = sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
     two = sets.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
@@ -333,7 +338,8 @@ def _tree_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     A bucket of at most BLOCK sets is one row. A larger one is dealt into blocks of one size band each, and block meets
     block, so that no task holds a whole large bucket.
     """
-    sig = classes.select("cls", F.col("sketch").alias("sig"))
+    sketched = materialize(members.select("cls").distinct(), "tree-touched")
+    sig = keep_keys(classes.select("cls", F.col("sketch").alias("sig")), sketched, "cls")
     one = F.struct("n", "cls", "comp", "sig")
     sizes = members.groupBy("token").agg(F.count("*").alias("m"))
     small = members.join(sizes.where(F.col("m") <= BLOCK).select("token"), "token", "left_semi").join(sig, "cls")
@@ -518,7 +524,7 @@ def _joined(documents: DataFrame, names: bool = False) -> DataFrame:
                 break
             tested = tested.union(asked)
             roots = _merged(roots, materialize(_linked(_possible(asked, classes), classes, documents), "tree-links"))
-        asked = _tree_pairs(_open(members, roots), classes).join(tested, ["a", "b"], "left_anti")
+        asked = materialize(_tree_pairs(_open(members, roots), classes).join(tested, ["a", "b"], "left_anti"), "tree-found")
         more = _linked(_possible(asked, classes), classes, documents)
         roots = _merged(roots, materialize(more, "tree-more"))
     named = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
