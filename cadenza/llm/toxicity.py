@@ -315,8 +315,8 @@ def detect(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on labelled rows whose id hash modulo 5 is not 0 and scores all: doc_id, held_out, score, predicted, worst.
 
     Null and empty texts are scored as texts without any weight. Repeated rows and null ids are kept; a null id is never
-    held out nor fitted on. An id labelled both 0 and 1 counts as toxic. Without labels, or with labels of one kind
-    only, nothing is learnt that tells texts apart; an empty ``documents`` gives no rows. Other columns are ignored.
+    held out nor fitted on. An id labelled both 0 and 1 counts as toxic. Without labelled rows every
+    score is 0; an empty ``documents`` gives no rows. Other columns are ignored.
     """
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     return score(documents, fit(documents, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted", "worst")
