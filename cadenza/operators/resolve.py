@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.text import has_text
 from cadenza.operators.clean import fill_missing, first_per_key
 from cadenza.operators.numbering import number_within
+from cadenza.session import materialize
 
 LOCAL, EXTERNAL, NOT_FOUND = "local", "external", "not_found"
 
@@ -82,27 +83,49 @@ def search_catalogue(
     return catalogue.where(has_text("name", title, regex) & has_text("artists", artist, regex))
 
 
-def list_matches(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+def list_matches(requests: DataFrame, catalogue: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Every track whose title and artist text contain those of the request, numbered 1..m by id.
 
     Titles are found through their rarest part in common with the requested word. The numbering is spread over
-    sorted slices, so a word that fits very many tracks does not end up in one task.
+    sorted slices, so a word that fits very many tracks does not end up in one task. Requests of the same words
+    share one numbered list, which meets them last; only ids that stand for several requests get a list of their own.
+    ``only`` has request_id and pick, and leaves the matches of those numbers; all are numbered all the same.
     """
     asked = requests.select(
         F.lower("title").alias("word"), F.lower("artist").alias("artist_word"), "request_id"
     )
+    ids = asked.groupBy("request_id").agg((F.count("*") == 1).alias("alone"))
+    asked = asked.alias("a").join(ids.alias("b"), F.col("a.request_id").eqNullSafe(F.col("b.request_id")))
+    alone = F.col("alone")
+    menu = ["menu_word", "menu_artist", "menu_id", "alone"]
+    asked = asked.select(
+        "a.*", "alone", F.when(alone, F.col("word")).alias("menu_word"),
+        F.when(alone, F.col("artist_word")).alias("menu_artist"), F.when(~alone, F.col("a.request_id")).alias("menu_id"),
+    )
+    asked = materialize(asked.where("word IS NOT NULL AND artist_word IS NOT NULL"), "menu-requests")
     titles = catalogue.select(F.lower("name").alias("text")).where("text IS NOT NULL").distinct()
     hits = containing(asked.select("word").distinct(), titles, []).withColumnRenamed("text", "title_key")
     tracks = catalogue.select(
         F.col("id").alias("track_id"), "name", "artists", F.lower("name").alias("title_key")
     )
+    entries = asked.select("word", "artist_word", *menu)
+    entries = entries.where("alone").distinct().unionByName(entries.where("NOT alone"))
     listed = (
-        asked.join(hits, "word")
+        entries.join(hits, "word")
         .join(tracks, "title_key")
         .where(F.contains(F.lower("artists"), F.col("artist_word")))
-        .select("request_id", "track_id", "name", "artists")
+        .select(*menu, "track_id", "name", "artists")
+    )
+    numbered = materialize(number_within(listed, menu, ["track_id"], "match_no"), "menus")
+    owners = asked.select("request_id", *menu).distinct()
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"m.{c}")) for c in menu]
+    if only is not None:
+        picks = only.select("request_id", F.col("pick").alias("match_no")).distinct()
+        owners = owners.join(picks, "request_id")
+        same.append(F.col("o.match_no") == F.col("m.match_no"))
+    return owners.alias("o").join(numbered.alias("m"), same).select(
+        "o.request_id", "m.track_id", "m.name", "m.artists", "m.match_no"
     )
-    return number_within(listed, ["request_id"], ["track_id"], "match_no")
 
 
 def pick_match(matches: DataFrame, picks: DataFrame) -> DataFrame:

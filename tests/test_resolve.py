@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from cadenza.operators import resolve
 
 
@@ -60,3 +62,22 @@ def test_search_words(spark):
     ids = lambda df: sorted(r.id for r in df.collect())
     assert ids(resolve.search_catalogue(tracks, "africa", "(uk")) == [2]
     assert ids(resolve.search_catalogue(tracks, "^africa$", "toto", regex=True)) == [1, 2]
+
+
+def test_requests_of_the_same_words_share_one_list(spark, monkeypatch):
+    tracks, _ = tables(spark)
+    asked = [(i, "Africa", "o") for i in range(300)] + [(900, "africa", "toto"), (900, "unite", "bob"), (None, "these", "nico"), (901, None, "o")]
+    asked = spark.createDataFrame(asked, "request_id long, title string, artist string")
+    sizes = []
+    plain = resolve.number_within
+    monkeypatch.setattr(resolve, "number_within", lambda df, *a: sizes.append(df.count()) or plain(df, *a))
+    found = sorted(((r.request_id, r.match_no, r.track_id) for r in resolve.list_matches(asked, tracks).collect()), key=str)
+    want = [(i, n, n) for i in range(300) for n in (1, 2, 3)] + [(900, 1, 1), (900, 2, 2), (900, 3, 3), (None, 1, 4)]
+    assert found == sorted(want, key=str)
+    assert sizes == [3 + 3 + 1]  # not 900 and more
+    picks = asked.select("request_id", F.lit(2).cast("long").alias("pick"))
+    menu = resolve.list_matches(asked, tracks, only=picks)
+    chosen = [(r.request_id, r.track_id, r.in_range) for r in resolve.pick_match(menu, picks).collect()]
+    assert menu.count() == 301
+    want = [(i, 2, True) for i in range(300)] + [(900, 2, True)] * 2 + [(None, None, False), (901, None, False)]
+    assert sorted(chosen, key=str) == sorted(want, key=str)
