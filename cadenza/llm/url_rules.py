@@ -1,6 +1,7 @@
 """URL verdicts: a fixed list of host and path rules first, then association rules over URL tokens.
 
-Frequent token sets of the pages labelled bad are mined by Spark's FP-growth; their support among all labelled pages
+Frequent token sets of the pages labelled bad are mined by Spark's FP-growth, or level by level where pages have many
+tokens; their support among all labelled pages
 gives each rule "these tokens -> block" its confidence. Rules of little support or confidence, and rules that a shorter
 one of at least their confidence covers, are pruned. The others are matched through an inverted index: every rule is
 posted under its rarest token, a URL meets only the postings of its own tokens, and then the whole rule is tested.
@@ -29,8 +30,8 @@ RULES = [
 MIN_SUPPORT = 0.01
 MIN_PAGES = 5
 MIN_CONFIDENCE = 0.6
-#: Bound of the fit, not of the matching: tokens of one labelled page that FP-growth gets, the ones most often bad first.
-#: A page with more frequent tokens has exponentially many frequent sets.
+#: FP-growth lists every frequent set, of which a page with more frequent tokens than this has exponentially many. If
+#: there is such a page, the sets that can become rules are searched level by level instead; no token is left out.
 MINED_TOKENS = 12
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,6 +94,41 @@ def posted(rules: DataFrame, often: DataFrame) -> DataFrame:
     )
 
 
+def telling_sets(bad_pages: DataFrame, baskets: DataFrame, often: DataFrame, least: int) -> DataFrame:
+    """All token sets on ``least`` bad pages that can make a rule no shorter one covers: rule_items, level by level.
+
+    A token that all pages of the other tokens hold changes no confidence, and nothing beats a set that is on bad pages
+    alone. So a set goes on only if each of its tokens narrows it and it is on some good page too, which holds for all
+    parts of such a set as well: a candidate of one more token needs all its parts in the level before.
+    """
+    level = often.where(F.col("bad_seen") >= least).select(
+        F.array("token").alias("rule_items"), "seen", F.col("bad_seen").alias("support")
+    )
+    found, size = level.select("rule_items"), 1
+    while True:
+        level = materialize(level.where("seen > support").select("rule_items", "seen"), "url-level")
+        start, last = F.slice("rule_items", 1, size - 1), F.element_at("rule_items", -1)
+        left = level.select(F.col("rule_items").alias("own"), start.alias("start"), last.alias("last"))
+        right = level.select(start.alias("start"), last.alias("more"))
+        joined = left.join(right, "start").where(F.col("last") < F.col("more")).select(F.concat("own", F.array("more")).alias("rule_items"))
+        without = F.transform(
+            F.sequence(F.lit(0), F.lit(size)), lambda i: F.filter("rule_items", lambda t, at: at != i)
+        )
+        parts = joined.withColumn("part", F.explode(without)).join(
+            level.select(F.col("rule_items").alias("part"), F.col("seen").alias("part_seen")), "part"
+        )
+        parts = parts.groupBy("rule_items").agg(F.count("*").alias("n"), F.min("part_seen").alias("fewest"))
+        candidates = materialize(parts.where(F.col("n") == size + 1).select("rule_items", "fewest"), "url-candidates")
+        if candidates.isEmpty():
+            return found
+        index = materialize(posted(candidates, often.select("token", "seen")), "url-sets")
+        support = covering(bad_pages.select("items"), index).groupBy("rule_items", "fewest", "posted").agg(F.count("*").alias("support"))
+        support = materialize(support.where(F.col("support") >= least), "url-sets")
+        level = covering(baskets.select("items"), support).groupBy("rule_items", "fewest", "support").agg(F.count("*").alias("seen"))
+        level = materialize(level.where("seen < fewest"), "url-level")
+        found, size = found.unionByName(level.select("rule_items")), size + 1
+
+
 def mine(
     baskets: DataFrame,
     min_support: float = MIN_SUPPORT,
@@ -103,7 +139,7 @@ def mine(
     """Rules from labelled token sets (``items``, boolean ``bad``): rule_items, support, confidence, posted.
 
     ``support`` counts the bad pages that hold the tokens, ``confidence`` is their share of all labelled pages that do.
-    Without labelled bad pages there are no rules.
+    Without labelled bad pages there are no rules. ``mined_tokens`` chooses the way of the search, not its result.
     """
     baskets = materialize(baskets.withColumn("page", F.monotonically_increasing_id()), "url-baskets")
     each = baskets.select("page", "bad", F.explode("items").alias("token"))
@@ -116,11 +152,11 @@ def mine(
         each.where("bad")
         .join(often.where(F.col("bad_seen") >= least), "token")
         .groupBy("page")
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("bad_seen") / F.col("seen")).alias("lean"), "token"))).alias("ranked"))
-        .select(F.transform(F.slice("ranked", 1, mined_tokens), lambda r: r["token"]).alias("items"))
+        .agg(F.collect_list("token").alias("items"))
+        .select("items")
     )
     kept = materialize(kept, "url-transactions")
-    n_kept = kept.count()
+    n_kept, longest = kept.agg(F.count("*"), F.max(F.size("items"))).first()
     if not n_kept:
         return baskets.limit(0).select(
             F.col("items").alias("rule_items"),
@@ -128,9 +164,12 @@ def mine(
             F.lit(0.0).alias("confidence"),
             F.lit("").alias("posted"),
         )
-    # Spark takes a share and rounds the count up; half a page less keeps that at ``least``.
-    grown = FPGrowth(itemsCol="items", minSupport=max(0.0, least - 0.5) / n_kept, minConfidence=1.0).fit(kept)
-    sets = grown.freqItemsets.select(F.sort_array("items").alias("rule_items"))
+    if longest > mined_tokens:
+        sets = telling_sets(kept, baskets, often, least)
+    else:
+        # Spark takes a share and rounds the count up; half a page less keeps that at ``least``.
+        grown = FPGrowth(itemsCol="items", minSupport=max(0.0, least - 0.5) / n_kept, minConfidence=1.0).fit(kept)
+        sets = grown.freqItemsets.select(F.sort_array("items").alias("rule_items"))
     index = materialize(posted(sets, often.select("token", "seen")), "url-sets")
     counted = covering(baskets.select("items", "bad"), index).groupBy("rule_items", "posted").agg(
         F.count_if("bad").alias("support"), F.count("*").alias("_seen")

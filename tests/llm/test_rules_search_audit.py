@@ -115,6 +115,27 @@ def test_mined_rules_equal_brute_force(spark):
             assert by_id[i].mined_tokens == " ".join(best)
 
 
+def test_long_urls_are_mined_whole_and_both_ways_agree(spark):
+    chance = random.Random(9)
+    rows = []
+    for _ in range(120):
+        bad = chance.random() < 0.5
+        own = [f"t{i:02d}" for i in range(9) if chance.random() < (0.7 if bad else 0.5)]
+        rows.append((own, bad))
+    plain = spark.createDataFrame(rows, "items array<string>, bad boolean")
+    whole = {tuple(r.rule_items): (r.support, r.confidence) for r in url_rules.mine(plain).collect()}
+    levels = {tuple(r.rule_items): (r.support, r.confidence) for r in url_rules.mine(plain, mined_tokens=3).collect()}
+    assert whole == levels and max(map(len, whole)) > 1
+    # Twelve tokens that are bad more often stand before the pair that makes the rule; forty that go together come for nothing.
+    lures = [f"a{i:02d}" for i in range(12)]
+    many = [f"c{i:02d}" for i in range(40)]
+    rows = [([*lures, "x", "y", *many], True)] * 10 + [([*lures, *many], True)] * 10
+    rows += [([*lures, *many], False)] * 15 + [(["x"], False)] * 30 + [(["y"], False)] * 30
+    long = spark.createDataFrame(rows, "items array<string>, bad boolean")
+    found = {tuple(r.rule_items): r.confidence for r in url_rules.mine(long).collect()}
+    assert found[("x", "y")] == 1.0
+
+
 # ---- lexical search -------------------------------------------------------------------------------
 
 
