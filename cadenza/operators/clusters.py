@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.scaling import fit_scaler
-from cadenza.session import materialize
+from cadenza.session import materialize, spread
 
 # Clusters, restarts and iteration limit of the current model, largest k of the elbow sweep.
 CLUSTERS = 5
@@ -24,10 +24,11 @@ Models = dict[tuple[int, int], np.ndarray]  # (k, restart) -> centres, one row e
 
 
 def _points(catalogue: DataFrame, features: list[str]) -> DataFrame:
-    """id and the standardised features z0, z1, ... of the complete rows, stored once."""
+    """id and the standardised features z0, z1, ... of the complete rows, stored once, in parts for all tasks."""
     scaler = fit_scaler(catalogue, features)
     scaled = [s.alias(f"z{i}") for i, s in enumerate(scaler.all_scaled())]
-    return materialize(catalogue.na.drop(subset=features).select("id", *scaled), "points")
+    # Light rows that every scan meets with all models: merged by size alone, they would be one task's work.
+    return materialize(spread(catalogue.na.drop(subset=features).select("id", *scaled), "id"), "points")
 
 
 def starting_points(points: DataFrame, width: int, ks: list[int], restarts: int, seed: int) -> Models:

@@ -76,3 +76,12 @@ def test_lists_are_zipped_to_the_shorter(spark):
     records = spark.createDataFrame([("u", 9 - i, f"r{i}") for i in range(3)] + [("w", 1, "y"), (None, 1, "n")], "who string, nth int, record string")
     got = {(r.who, r.place, r.track, r.record) for r in reports.paired_by_position(tracks, records, ["who"], ["at"], ["nth"]).collect()}
     assert got == {("u", 1, "t0", "r2"), ("u", 2, "t1", "r1"), ("u", 3, "t2", "r0")}
+
+
+def test_points_lie_in_parts_for_several_tasks(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, *map(float, rng.normal(size=2))) for i in range(400)]
+    catalogue = spark.createDataFrame(rows, "id long, danceability double, energy double").coalesce(1)
+    points = clusters._points(catalogue, FEATURES)
+    assert points.count() == 400
+    assert len(points.inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
