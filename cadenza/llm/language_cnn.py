@@ -3,27 +3,34 @@
 Filters of several widths run over fixed-length windows, each keeps its largest response in the window, and a
 softmax names the language. Over one-hot bytes a filter is a sum of table rows, one per offset, so the forward pass
 is gathers and additions; neighbouring offsets are folded into tables over byte pairs when texts are scored.
-The weights are trained in numpy on a bounded sample; every text is then scored whole, window by window.
+The weights are trained on all windows of all texts that have a language: tasks train copies of them in numpy, whose mean
+Spark takes round by round. Every text is then scored whole, window by window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Texts, pieces, remainder, text_or_empty
+from cadenza.llm.common import Texts, mix, pieces, remainder, row_key, text_or_empty
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: About so many documents of each language are fitted on, and so many windows of each at most.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 500, 10
-EPOCHS, BATCH, LEAST_STEPS = 4, 128, 300
+#: About so many windows start the weights, in one task; each later round has GROWTH times the windows of all before.
+FIRST_WINDOWS, GROWTH = 16_384, 16
+#: Windows that a task of a later round trains on, about; slices in which weights are added up.
+PART_WINDOWS, SLICES = 65_536, 16
+#: Draws are below this.
+DRAWS = 1 << 63
+#: Adam's steps: passes over the windows of the first round, windows a step, least number of steps, rates of the first and later rounds.
+EPOCHS, BATCH, LEAST_STEPS, RATE, LATER_RATE = 4, 128, 300, 0.02, 0.004
 #: Least probability at which a text counts as recognised.
 LEAST = 0.4
 #: Windows scored at once.
@@ -54,61 +61,70 @@ def windows(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _respond(net: Network, x: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Largest response of each filter in each window, and where it is."""
+    single = np.ascontiguousarray(x.T)  # positions first: the maximum runs over whole rows
     best, where = [], {}
     for width, table in net.tables.items():
         n = WINDOW - width + 1
-        act = table[0][x[:, :n]]
+        act = table[0].take(single[:n], axis=0)
         for k in range(1, width):
-            act += table[k][x[:, k : k + n]]
-        where[width] = act.argmax(axis=1)
-        best.append(np.take_along_axis(act, where[width][:, None, :], axis=1)[:, 0])
+            act += table[k].take(single[k : k + n], axis=0)
+        where[width] = act.argmax(axis=0)
+        best.append(np.take_along_axis(act, where[width][None], axis=0)[0])
     return np.concatenate(best, axis=1), where
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 7) -> Network:
-    """Adam on the cross-entropy; only the bytes under each filter's best place get a gradient."""
+def start(langs: list[str], seed: int = 7) -> Network:
+    """Random weights, the same for the same seed."""
     rng = np.random.default_rng(seed)
     f = FILTERS * len(WIDTHS)
-    net = Network(
+    return Network(
         langs,
         {w: rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS},
         np.zeros(f, np.float32),
         rng.normal(0, 0.1, (f, len(langs))).astype(np.float32),
         np.zeros(len(langs), np.float32),
     )
-    params = [*net.tables.values(), net.bias, net.dense, net.dense_bias]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    weight = len(y) / (len(langs) * np.maximum(np.bincount(y, minlength=len(langs)), 1))
-    step = 0
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(y) // BATCH)))):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), BATCH):
-            rows = order[at : at + BATCH]
-            xb, yb = x[rows], y[rows]
-            pooled, where = _respond(net, xb)
-            hidden = np.maximum(pooled + net.bias, 0)
-            logits = hidden @ net.dense + net.dense_bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(yb)), yb] -= 1
-            p *= (weight[yb] / len(yb))[:, None]
-            p = p.astype(np.float32)
-            back = (p @ net.dense.T) * (hidden > 0)
-            grads = []
-            for i, (width, table) in enumerate(net.tables.items()):
-                g = np.zeros_like(table)
-                part = back[:, i * FILTERS : (i + 1) * FILTERS]
-                for k in range(width):
-                    byte = np.take_along_axis(xb, where[width] + k, axis=1)
-                    np.add.at(g[k], (byte, np.arange(FILTERS)[None, :]), part)
-                grads.append(g)
-            grads += [back.sum(axis=0), hidden.T @ p, p.sum(axis=0)]
-            step += 1
-            for q, g, m, v in zip(params, grads, first, second):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                q -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return net
+
+
+def parameters(net: Network) -> list[np.ndarray]:
+    return [*net.tables.values(), net.bias, net.dense, net.dense_bias]
+
+
+class Trainer:
+    """Adam on the cross-entropy, on a copy of the weights; only the bytes under each filter's best place get a gradient."""
+
+    def __init__(self, net: Network, weight: np.ndarray, rate: float):
+        self.net = Network(net.langs, {w: t.copy() for w, t in net.tables.items()}, net.bias.copy(), net.dense.copy(), net.dense_bias.copy())
+        self.weight, self.rate, self.step = weight, rate, 0
+        self.params = parameters(self.net)
+        self.first, self.second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
+
+    def learn(self, xb: np.ndarray, yb: np.ndarray) -> None:
+        """One step on a batch of windows and the places of their languages."""
+        net = self.net
+        pooled, where = _respond(net, xb)
+        hidden = np.maximum(pooled + net.bias, 0)
+        logits = hidden @ net.dense + net.dense_bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(yb)), yb] -= 1
+        p *= (self.weight[yb] / len(yb))[:, None]
+        p = p.astype(np.float32)
+        back = (p @ net.dense.T) * (hidden > 0)
+        grads = []
+        for i, (width, table) in enumerate(net.tables.items()):
+            g = np.zeros_like(table)
+            part = back[:, i * FILTERS : (i + 1) * FILTERS]
+            for k in range(width):
+                byte = np.take_along_axis(xb, where[width] + k, axis=1)
+                np.add.at(g[k], (byte, np.arange(FILTERS)[None, :]), part)
+            grads.append(g)
+        grads += [back.sum(axis=0), hidden.T @ p, p.sum(axis=0)]
+        self.step += 1
+        for q, g, m, v in zip(self.params, grads, self.first, self.second):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            q -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
 
 
 class Scorer:
@@ -153,35 +169,108 @@ class Scorer:
         return total / np.maximum(np.diff(texts.at), 1)[:, None]
 
 
-def fit(documents: DataFrame, docs_per_lang: int = SAMPLE_DOCS) -> Network | None:
-    """Trains on a sample: a document's id hash falls below a bar that leaves about ``docs_per_lang`` a language.
-
-    Rows without language or letters are left out. Returns None when nothing is left.
-    """
-    rows = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & text_or_empty().rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 30))
-    sample = rows.join(F.broadcast(counts), "lang").where(draw <= (1 << 30) * (1.25 * docs_per_lang / F.col("_n")))
+def _cut(langs: list[str], low: int, high: int) -> Callable:
+    """Windows whose draw is from ``low`` up to ``high``: draw, place of the language, bytes."""
+    place = {v: i for i, v in enumerate(langs)}
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
-            x, owner, size = windows(texts)
+            x, owner, _ = windows(texts)
             nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            count = np.bincount(owner, minlength=texts.n)[owner]
-            every = -(-count // SAMPLE_WINDOWS)  # evenly spread over the text
-            keep = nth % every == 0
-            langs = batch.column("lang").take(pa.array(owner[keep]))
-            ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(owner[keep]))
-            yield pa.RecordBatch.from_arrays([ids, langs, pa.array([r.tobytes() for r in x[keep]], pa.binary())], ["doc_id", "lang", "w"])
-
-    got = sample.select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, w binary").toPandas()
+            key = batch.column("key").to_numpy().view(np.uint64)[owner]
+            draw = mix(key + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+            keep = (draw >= np.uint64(low)) & (draw < np.uint64(high))
+            lang = np.array([place[v] for v in batch.column("lang").to_pylist()], np.int32)[owner[keep]]
+            at = np.arange(int(keep.sum()) + 1, dtype=np.int32) * WINDOW
+            held = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(x[keep]))])
+            yield pa.RecordBatch.from_arrays([pa.array(draw[keep].view(np.int64)), pa.array(lang), held], ["draw", "lang", "w"])
+
+    return run
+
+
+def _learn(net: Network, weight: np.ndarray, first: bool) -> Callable:
+    """Trains a copy of the network on the windows of a task; its weights in SLICES slices, times the number of windows.
+
+    The windows of the ``first`` round are few and seen several times, all others once.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            w = batch.column("w")
+            at = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + 1]
+            x = np.frombuffer(w.buffers()[2], np.uint8)[at[0] : at[0] + len(w) * WINDOW].reshape(-1, WINDOW) if len(w) else np.zeros((0, WINDOW), np.uint8)
+            yield x, batch.column("lang").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, seen = Trainer(net, weight, RATE if first else LATER_RATE), 0
+        if first:
+            parts = [(x.copy(), y) for x, y in read(batches)]
+            x, y = np.concatenate([x for x, _ in parts] or [np.zeros((0, WINDOW), np.uint8)]), np.concatenate([y for _, y in parts] or [np.zeros(0, np.int32)])
+            seen, rng = len(y), np.random.default_rng(7)
+            for _ in range(max(EPOCHS, -(-LEAST_STEPS // max(1, -(-seen // BATCH))))) if seen else ():
+                order = rng.permutation(seen)
+                for at in range(0, seen, BATCH):
+                    trainer.learn(x[order[at : at + BATCH]], y[order[at : at + BATCH]])
+        else:
+            for x, y in read(batches):
+                for at in range(0, len(y), BATCH):
+                    trainer.learn(x[at : at + BATCH], y[at : at + BATCH])
+                seen += len(y)
+        if seen:
+            flat = np.concatenate([p.ravel() for p in trainer.params]).astype(np.float64) * seen
+            parts = [v.tobytes() for v in np.array_split(flat, SLICES)]
+            no, n = pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32()), pa.array([seen] * SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), no, n, pa.array(parts, pa.binary())], ["slice", "no", "n", "part"])
+
+    return run
+
+
+def _mean(net: Network, told: DataFrame) -> Network:
+    """The mean of the tasks' weights, by their windows; added up in Spark, a slice in one task and in the tasks' order."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for i, n, part in zip(batch.column("slice").to_pylist(), batch.column("n").to_pylist(), batch.column("part")):
+                have = sums.setdefault(i, [0, 0])
+                have[0] += n
+                have[1] = have[1] + np.frombuffer(part.as_buffer(), np.float64)
+        columns = [pa.array(list(sums), pa.int32()), pa.array([(v[1] / v[0]).astype(np.float32).tobytes() for v in sums.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["slice", "part"])
+
+    got = told.repartition("slice").sortWithinPartitions("slice", "no").mapInArrow(add, "slice int, part binary").toPandas().sort_values("slice")
     if got.empty:
+        return net
+    flat, params, at = np.concatenate([np.frombuffer(b, np.float32) for b in got["part"]]), [], 0
+    for p in parameters(net):
+        params.append(flat[at : at + p.size].reshape(p.shape).copy())
+        at += p.size
+    return Network(net.langs, dict(zip(net.tables, params)), *params[-3:])
+
+
+def fit(documents: DataFrame, first_windows: int = FIRST_WINDOWS, part_windows: int = PART_WINDOWS) -> Network | None:
+    """Trains on every window of every document with a language and letters. Returns None when there is none.
+
+    Each window draws a number from its document's id and text and its place. The about ``first_windows`` lowest are one task's,
+    which starts the weights. Every later round takes the next windows, GROWTH times all before, and each once: tasks of
+    about ``part_windows``, in the order of the draws, train copies of the weights that the round before left, and the copies'
+    mean goes on. Languages weigh the same, however many windows they have. Where the rows lie in files has no influence.
+    """
+    rows = documents.select(row_key().alias("key"), "text", "lang").where(F.col("lang").isNotNull() & text_or_empty().rlike(r"\p{L}"))
+    each = F.ceil(F.octet_length("text") / F.lit(WINDOW))
+    counts = {r["lang"]: int(r["n"]) for r in rows.groupBy("lang").agg(F.sum(each).alias("n")).collect()}
+    if not counts:
         return None
-    got = got.sort_values(["lang", "doc_id", "w"]).reset_index(drop=True)
-    got = got[got.groupby("lang").cumcount() < 2 * docs_per_lang * SAMPLE_WINDOWS]
-    langs = sorted(got["lang"].unique())
-    x = np.frombuffer(b"".join(got["w"]), np.uint8).reshape(-1, WINDOW)
-    return train(x, got["lang"].map({v: i for i, v in enumerate(langs)}).to_numpy(), langs)
+    langs, total = sorted(counts), sum(counts.values())
+    weight = np.array([total / (len(langs) * counts[v]) for v in langs])
+    net, low, share = start(langs), 0, min(1.0, first_windows / total)
+    while low < DRAWS:
+        high = DRAWS if share >= 1 else int(share * DRAWS)
+        tasks = 1 if not low else max(1, round(total * (high - low) / DRAWS / part_windows))
+        drawn = rows.mapInArrow(_cut(langs, low, high), "draw long, lang int, w binary").repartition(tasks, "draw").sortWithinPartitions("draw")
+        net = _mean(net, drawn.mapInArrow(_learn(net, weight, not low), "slice int, no int, n long, part binary"))
+        low, share = high, share * GROWTH
+    return net
 
 
 def predict(documents: DataFrame, net: Network | None) -> DataFrame:
@@ -228,10 +317,11 @@ def keep_recognised(documents: DataFrame, least: float = LEAST) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     net = fit(documents.where(F.col("doc_id").isNotNull() & ~held_out))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def recognised(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(net) if net else None
-        for batch, texts in pieces(batches):
-            keep = scorer.texts(texts).max(axis=1) >= least if scorer else np.ones(texts.n, bool)
-            yield batch.filter(pa.array(keep))
+        for column in columns:
+            found = [scorer.texts(texts).max(axis=1) >= least for _, texts in pieces(iter([pa.RecordBatch.from_arrays([column], ["text"])]))] if scorer else []
+            yield pa.array(np.concatenate(found) if found else np.ones(len(column), bool))
 
-    return documents.where(text_or_empty().rlike(r"\p{L}")).mapInArrow(run, documents.schema)
+    return documents.where(text_or_empty().rlike(r"\p{L}")).where(recognised(F.col("text")))

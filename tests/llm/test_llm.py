@@ -437,3 +437,30 @@ def test_pipeline(spark):
     assert rows and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
     counts = collections.Counter(r.shard for r in rows)
     assert max(counts.values()) - min(counts.values()) <= 1
+
+
+def _spelt(n, first, lang, letters):
+    return [(first + i, " ".join("".join(random.choices(letters, k=5)) for _ in range(60)), lang) for i in range(n)]
+
+
+def test_network_learns_every_window(spark, monkeypatch):
+    """Every window is drawn in one round, whatever the rounds; a word in many late windows is learnt."""
+    rows = _spelt(12, 0, "aa", "abcde") + _spelt(12, 100, "bb", "bcdef") + [(200, "x" * 5000, "aa"), (201, "", "aa"), (202, None, "bb"), (203, "12 !", "bb"), (204, "abc", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    whole = {t for _, t, lang in rows if lang and t and re.search("[a-z]", t)}
+    expected = collections.Counter(t[i : i + 256].encode().ljust(256, b"\0") for t in whole for i in range(0, len(t), 256))
+    drawn = collections.Counter()
+    cut = language_cnn._cut
+
+    def spy(langs, low, high):
+        run = cut(langs, low, high)
+        kept = docs.where("lang is not null and text rlike '[a-z]'").select(language_cnn.row_key().alias("key"), "text", "lang")
+        drawn.update(bytes(r.w) for r in kept.mapInArrow(run, "draw long, lang int, w binary").collect())
+        return run
+
+    monkeypatch.setattr(language_cnn, "_cut", spy)
+    net = language_cnn.fit(docs, first_windows=8, part_windows=20)
+    assert drawn == expected and net.langs == ["aa", "bb"]
+    again = language_cnn.fit(docs.repartition(7), first_windows=8, part_windows=20)
+    assert all(np.array_equal(p, q) for p, q in zip(language_cnn.parameters(net), language_cnn.parameters(again)))
+    assert language_cnn.fit(docs.where("lang is null")) is None
