@@ -66,6 +66,21 @@ def _size_cell(size: Column) -> Column:
     return F.least(F.floor(F.log2(size.cast("double")) * F.lit(2)), F.lit((1 << BITS) - 1)).cast("long")
 
 
+def _curves(langs: DataFrame, sources: DataFrame) -> DataFrame:
+    """_lang, _source, _cell (of the size) and _curve of all cells in use: at most 2**18 rows, sent to every executor.
+
+    So the rows themselves, with all they carry, never wait for a Python worker.
+    """
+
+    @F.pandas_udf("long")
+    def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_index(np.stack([a, b, c], axis=1), BITS))
+
+    sizes = langs.sparkSession.range(1 << BITS).select(F.col("id").alias("_cell"))
+    used = langs.select("_lang").distinct().crossJoin(sources.select("_source").distinct()).crossJoin(F.broadcast(sizes))
+    return F.broadcast(used.withColumn("_curve", curve("_lang", "_source", "_cell")))
+
+
 def _group_places(documents: DataFrame) -> DataFrame:
     """name (of a text), group: the least lang and source of texts whose rows do not all have the same ones."""
     place = F.struct("lang", "source")
@@ -99,16 +114,13 @@ def shard(documents: DataFrame, n_shards: int = 16, carry: list[str] | None = No
         *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
     rows = _with_group(rows, _group_places(documents))
-    for column in ("lang", "source"):
+    cells = {c: _cells(documents, c) for c in ("lang", "source")}
+    for column in cells:
         own = F.when(F.col("group").isNull(), F.col(column)).otherwise(F.col(f"group.{column}"))
         rows = rows.withColumn(f"_own_{column}", own)
-        rows = rows.join(_cells(documents, column), F.col(f"_own_{column}").eqNullSafe(F.col("_value")), "left").drop("_value")
-
-    @F.pandas_udf("long")
-    def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index(np.stack([a, b, c], axis=1), BITS))
+        rows = rows.join(cells[column], F.col(f"_own_{column}").eqNullSafe(F.col("_value")), "left").drop("_value")
 
-    rows = rows.withColumn("_curve", curve("_lang", "_source", _size_cell(F.col("_size"))))
+    rows = rows.withColumn("_cell", _size_cell(F.col("_size"))).join(_curves(cells["lang"], cells["source"]), ["_lang", "_source", "_cell"])
     ordered = number_rows(rows, [F.col("_curve"), F.col("_crc"), F.col("_name"), F.col("doc_id").asc_nulls_first()], "_no")
     total = ordered.count()
     # Shard k holds the places from ceil(k * total / n_shards) on.

@@ -464,3 +464,22 @@ def test_network_learns_every_window(spark, monkeypatch):
     again = language_cnn.fit(docs.repartition(7), first_windows=8, part_windows=20)
     assert all(np.array_equal(p, q) for p, q in zip(language_cnn.parameters(net), language_cnn.parameters(again)))
     assert language_cnn.fit(docs.where("lang is null")) is None
+
+
+def test_carried_rows_meet_no_python_when_placed(docs):
+    """The curve is looked up: no Python node reads the texts that are carried along."""
+    import contextlib
+    import io
+
+    seen = []
+    number, hilbert.number_rows = hilbert.number_rows, lambda df, *a: (seen.append(df), number(df, *a))[1]
+    try:
+        hilbert.shard(docs, 16, docs.columns)
+    finally:
+        hilbert.number_rows = number
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        seen[-1].explain("extended")
+    plan = text.getvalue().split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    python = [line for line in plan.splitlines() if "EvalPython" in line]
+    assert python and not any("_carry_text" in line or "_name" in line for line in python)
