@@ -103,13 +103,64 @@ def _common(
     return used
 
 
-def ratio_of(left: pd.Series, right: pd.Series) -> np.ndarray:
+def common_matrix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Longest-common-subsequence length of every left text with every right text, of any length.
+
+    A beginning that neighbouring left texts share is walked once for all of them, so sorted texts cost
+    little more than the characters in which they differ.
+    """
+    points = "".join([*left, *right]).encode("utf-32-le")
+    table = np.unique(np.frombuffer(points, dtype=np.uint32))
+    n_a = np.array([len(s) for s in left], dtype=np.int64)
+    n_b = np.array([len(s) for s in right], dtype=np.int64)
+    a, b = _char_matrix(left, n_a, table), _char_matrix(right, n_b, table)
+    words = max(1, -(-int(n_b.max(initial=0)) // 64))
+    masks = np.zeros((words, len(table) + 1, len(right)), dtype=np.uint64)
+    for i in range(b.shape[1]):
+        masks[i // 64, b[:, i], np.arange(len(right))] |= np.uint64(1 << (i % 64))
+    masks[:, 0] = 0  # padding matches nothing
+    begins = np.ones(a.shape, dtype=bool)  # where a text leaves the one before it
+    begins[1:] = np.logical_or.accumulate(a[1:] != a[:-1], axis=1)
+    result = np.zeros((len(left), len(right)), dtype=np.int64)
+    state = [np.full((1, len(right)), ~np.uint64(0)) for _ in range(words)]
+    node = np.zeros(len(left), dtype=np.int64)
+    for j in range(int(n_a.max(initial=0))):
+        new = begins[:, j] & (n_a > j)
+        starts = np.flatnonzero(new)
+        came, letters = node[starts], a[starts, j]
+        carry = None
+        for w in range(words):
+            old = state[w][came]
+            both = old & masks[w][letters]
+            full = old + both
+            if words > 1:
+                over = full < old
+                if carry is not None:
+                    bumped = full + carry
+                    over |= bumped < full
+                    full = bumped
+                carry = over.astype(np.uint64)
+            both ^= old
+            full |= both
+            state[w] = full
+        node = np.cumsum(new) - 1
+        ended = np.flatnonzero(n_a == j + 1)
+        for w in range(words):
+            result[ended] += np.bitwise_count(~state[w][node[ended]])
+    return result
+
+
+def as_ratio(common: np.ndarray, size: np.ndarray) -> np.ndarray:
     """0-100 similarity ``2 * common / (len + len)``, halves rounded to even; blank texts score 0."""
-    common, size = common_lengths(left, right)
-    share = np.divide(2.0 * common, size, out=np.zeros(len(size)), where=size > 0)
+    share = np.divide(2.0 * common, size, out=np.zeros(size.shape), where=size > 0)
     return np.rint(100 * share).astype(np.int32)
 
 
+def ratio_of(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """Similarity of each pair of texts."""
+    return as_ratio(*common_lengths(left, right))
+
+
 @F.pandas_udf(T.IntegerType())
 def fuzzy_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Similarity of two cleaned texts; a missing text counts as blank."""
@@ -126,8 +177,7 @@ _SIGNATURE = T.StructType(
 )
 
 
-@F.pandas_udf(_SIGNATURE)
-def text_signature(texts: pd.Series) -> pd.DataFrame:
+def signature_of(texts: pd.Series) -> pd.DataFrame:
     """Length, class counts, and bits telling how often each character occurs (up to 3 times)."""
     table = np.array(sorted(ord(c) for c in ALPHABET), dtype=np.uint32)
     places = {c: int(np.searchsorted(table, ord(c))) for c in ALPHABET}
@@ -147,9 +197,15 @@ def text_signature(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def shared_at_most(a: str, b: str) -> Column:
-    """Most characters two signed texts can have in common."""
-    shared = F.least(F.col(f"{a}.rest"), F.col(f"{b}.rest"))
+@F.pandas_udf(_SIGNATURE)
+def text_signature(texts: pd.Series) -> pd.DataFrame:
+    return signature_of(texts)
+
+
+def shared_at_most(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Most characters that each text signed in ``a`` can have in common with each one signed in ``b``."""
+    shared = np.minimum(a["rest"].to_numpy()[:, None], b["rest"].to_numpy()[None])
     for w in range(SIGNATURE_WORDS):
-        shared = shared + F.bit_count(F.col(f"{a}.bits{w}").bitwiseAND(F.col(f"{b}.bits{w}")))
+        bits = a[f"bits{w}"].to_numpy()[:, None] & b[f"bits{w}"].to_numpy()[None]
+        shared = shared + np.bitwise_count(bits)
     return shared

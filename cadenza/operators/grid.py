@@ -6,6 +6,7 @@ cannot hold an answer are skipped. The per-cell facts kept on the driver are lim
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,6 +53,23 @@ class Grid:
         table = F.split(F.lit(",".join(map(str, per_cell))), ",").cast("array<int>")
         return F.coalesce(F.get(table, cell), F.lit(1))
 
+    def packs(self) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+        """First and last pack of a cell, as functions of the cell column.
+
+        Neighbouring cells share a pack of at most ``rows_per_block`` rows; a crowded cell has as many
+        packs as it has blocks.
+        """
+        first = np.zeros(int(self.ids.max(initial=0)) + 1, dtype=np.int64)
+        last = first.copy()
+        pack, room = -1, 0
+        for cell, rows in sorted(zip(self.ids.tolist(), self.rows.tolist(), strict=True)):
+            if rows > room:
+                pack, room = pack + 1, self.rows_per_block
+            first[cell], last[cell] = pack, pack + max(0, -(-rows // self.rows_per_block) - 1)
+            pack, room = last[cell], room - rows
+        tables = [F.split(F.lit(",".join(map(str, t))), ",").cast("array<int>") for t in (first, last)]
+        return tuple(lambda cell, table=table: F.get(table, cell) for table in tables)
+
     def measure(self, items: DataFrame, label: str | None = None) -> "Grid":
         """Learn bounds and row counts per occupied cell from ``items`` (which has a ``cell`` column).
 

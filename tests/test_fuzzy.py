@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cadenza.functions.fuzzy import common_lengths, ratio_of
+from cadenza.functions.fuzzy import common_lengths, common_matrix, ratio_of
 from cadenza.operators.fuzzy_match import best_matches
 
 
@@ -40,6 +41,32 @@ def test_common_length_of_whole_texts(pairs):
     assert ratio_of(left, right).tolist() == ratio_of(right, left).tolist()
 
 
+@settings(max_examples=40, deadline=None)
+@given(
+    st.lists(st.text("ab 1", max_size=80), min_size=1, max_size=12),
+    st.lists(st.text("ab 1", max_size=150), min_size=1, max_size=5),
+)
+def test_common_length_of_all_pairs(left, right):
+    left = sorted([*left, *(text + "a" for text in left)])
+    found = common_matrix(np.array(left, dtype=object), np.array(right, dtype=object))
+    assert found.tolist() == [[lcs(a, b) for b in right] for a in left]
+
+
+def test_requests_are_searched_in_chunks_not_as_rows_of_pairs(spark):
+    asked = [(i, f"household by customer{i:09d}") for i in range(300)]
+    titles = [(i, f"{a} {b} by brand{i % 7}") for i, (a, b) in enumerate((x, y) for x in "pqrst" for y in "uvwxyz")]
+    found = best_matches(
+        spark.createDataFrame(asked, "request_id long, search_text string"),
+        spark.createDataFrame(titles, "track_id long, search_text string"),
+        rows_per_cell=4,
+        rows_per_block=9,
+    )
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "fuzzy_ratio" not in plan
+    best = {i: min((-ratio(a, t), j) for j, t in titles) for i, a in asked}
+    assert {r.request_id: (-r.match_score, r.track_id) for r in found.collect()} == best
+
+
 def test_best_match_is_exact_over_all_titles(spark):
     rng = random.Random(5)
     words = ["love", "night", "blue", "rain", "fire", "Heart", "a", "the", "go!", "9", "zq"]
