@@ -53,6 +53,12 @@ class Grid:
         table = F.split(F.lit(",".join(map(str, per_cell))), ",").cast("array<int>")
         return F.coalesce(F.get(table, cell), F.lit(1))
 
+    def place(self, cell: Column) -> Column:
+        """Place of a cell among the occupied ones, from 0."""
+        places = np.zeros(int(self.ids.max(initial=0)) + 1, dtype=np.int64)
+        places[np.sort(self.ids)] = np.arange(len(self.ids))
+        return F.get(F.split(F.lit(",".join(map(str, places))), ",").cast("array<int>"), cell)
+
     def packs(self) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
         """First and last pack of a cell, as functions of the cell column.
 

@@ -2,7 +2,8 @@
 
 The catalogue is laid out on a quantile grid. Each distinct request first looks into the few cells that
 surely hold ``n`` eligible tracks; the n-th best score found there bounds the search, and only cells
-that can still beat it are joined in a second round. Both rounds are equi-joins on (cell, block).
+that can still beat it are joined in a second round. Both rounds are equi-joins on (cell, block); where a
+request needs many cells of one pack of 64, it is sent there once, with a mask of the cells it needs.
 Cosine uses the same machinery, because on unit vectors the squared distance is ``2 - 2 * cosine``.
 """
 
@@ -21,6 +22,8 @@ from cadenza.operators.grid import MAX_CELLS, Grid, box_gaps, box_reach, fit_gri
 from cadenza.operators.scaling import Scaler, fit_scaler
 from cadenza.session import materialize, spread
 
+PACK = 64  # cells under one mask
+_MANY = 8  # near cells from which a pack's mask is sent instead of one row a cell
 _SLACK = 1e-9  # widens every bound, so that rounding can only add work, never lose a row
 
 
@@ -51,21 +54,37 @@ def _first_cells(grid: Grid, wanted: int) -> Callable[..., Column]:
 
 
 def _cells_within(grid: Grid) -> Callable[..., Column]:
-    """Cells closer than ``radius`` that were not searched yet."""
-    ids, low, high, rows = grid.ids, grid.low, grid.high, grid.rows_at_once()
+    """Cells closer than ``radius`` that were not searched yet: ``cells``, and ``packs`` with ``masks``.
 
-    @F.pandas_udf("array<int>")
-    def cells_within(radius: pd.Series, searched: pd.Series, *axes: pd.Series) -> pd.Series:
+    Where many cells of one pack are near, a mask over the pack stands for them.
+    """
+    order = np.argsort(grid.ids)
+    ids, low, high, rows = grid.ids[order], grid.low[order], grid.high[order], grid.rows_at_once()
+    crowded = grid.rows[order] > grid.rows_per_block
+    n_packs = -(-len(ids) // PACK)
+
+    @F.pandas_udf("cells array<int>, packs array<int>, masks array<bigint>")
+    def cells_within(radius: pd.Series, searched: pd.Series, *axes: pd.Series) -> pd.DataFrame:
         points = np.column_stack([a.to_numpy(dtype=float) for a in axes])
         limit = radius.to_numpy(dtype=float)
 
         def pick(chunk: np.ndarray, start: int) -> list:
             gap = np.sqrt((box_gaps(chunk, low, high) ** 2).sum(axis=2))
             near = gap <= limit[start : start + len(chunk), None]
-            done = searched.iloc[start : start + len(chunk)]
-            return [np.setdiff1d(ids[hit], seen).tolist() for hit, seen in zip(near, done, strict=True)]
-
-        return pd.Series(_in_slices(points, rows, pick))
+            for row, seen in zip(near, searched.iloc[start : start + len(chunk)], strict=True):
+                row[np.searchsorted(ids, seen)] = False
+            bits = np.zeros((len(chunk), n_packs * PACK), dtype=bool)
+            bits[:, : len(ids)] = near & ~crowded
+            bits = bits.reshape(len(chunk), n_packs, PACK)
+            many = bits.sum(axis=2) >= _MANY
+            masks = np.packbits(bits, axis=2, bitorder="little").view("<i8")[:, :, 0]
+            alone = near & ~(np.repeat(many, PACK, axis=1)[:, : len(ids)] & ~crowded)
+            return [
+                (ids[a].tolist(), np.flatnonzero(m).tolist(), mask[m].tolist())
+                for a, m, mask in zip(alone, many, masks, strict=True)
+            ]
+
+        return pd.DataFrame(_in_slices(points, rows, pick), columns=["cells", "packs", "masks"])
 
     return cells_within
 
@@ -185,6 +204,27 @@ def nearest(
             .withColumn("score", score)
         )
 
+    def compare_packs(search: DataFrame) -> DataFrame:
+        """Score each (query, pack, mask) row against the tracks of the masked cells."""
+        parts = int(search.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shares = -(-parts // max(1, -(-len(grid.ids) // PACK)))  # few packs are read by several tasks each
+        place = grid.place(F.col("cell"))
+        asked_packs = search.withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)))
+        packed = items.withColumns(
+            {
+                "pack": F.floor(place / PACK).cast("int"),
+                "bit": (place % PACK).cast("int"),
+                "share": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))),
+            }
+        )
+        return (
+            spread(asked_packs, "pack", "share")
+            .alias("q")
+            .join(spread(packed, "pack", "share").alias("i"), ["pack", "share"])
+            .where((F.getbit(F.col("q.mask"), F.col("i.bit")) == 1) & eligible)
+            .withColumn("score", score)
+        )
+
     axes = [F.col(a) for a in u]
     first = _first_cells(grid, keep)
     near = (
@@ -204,11 +244,17 @@ def nearest(
         .withColumn("bound", F.coalesce("bound", no_bound)),
         "neighbour-bounds",
     )
-    within = _cells_within(grid)
+    left = near.withColumn("left", _cells_within(grid)(radius, F.col("searched"), *axes))
+    compared = ["query_id", *query_key, *(["size"] if by_cosine else []), "bound"]
+    by_cell = left.select(*compared, F.explode("left.cells").alias("cell"))
+    by_pack = left.select(
+        *compared, F.inline(F.arrays_zip("left.packs", "left.masks")).alias("pack", "mask")
+    )
     wider = (
-        compare(near.withColumn("cell", F.explode(within(radius, F.col("searched"), *axes))))
+        compare(by_cell)
         .where(still_good)
         .select("query_id", "item_id", "score")
+        .unionByName(compare_packs(by_pack).where(still_good).select("query_id", "item_id", "score"))
     )
     ranked = (
         near.select("query_id", F.inline("hits"))

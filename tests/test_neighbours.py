@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import recommend
+from cadenza.operators import neighbours, recommend
+from cadenza.operators.grid import fit_grid
 from cadenza.operators.neighbours import nearest
 from cadenza.operators.scaling import fit_scaler
 
@@ -76,6 +77,34 @@ def test_one_vector_under_many_titles(spark, skip_title, skip_self):
     assert answers(hits) == brute(values, names, 3, "cosine", skip_title, skip_self)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_unrelated_vectors_reach_many_cells(spark, metric):
+    values = np.random.default_rng(8).normal(size=(400, 3))
+    names = [f"s{i % 50}" for i in range(400)]
+    tracks = catalogue(spark, values, names)
+    hits = nearest(requests_for(tracks), tracks, FEATURES, 60, metric, True, rows_per_cell=3)
+    assert answers(hits) == brute(values, names, 60, metric, True, False)
+
+
+def test_cells_of_one_pack_travel_as_one_row(spark):
+    points = spark.createDataFrame([(float(i), float(-i)) for i in range(200)], "x double, y double")
+    grid = fit_grid(points, ["x", "y"], rows_per_cell=1, max_cells=256)
+    cells = points.withColumn("cell", grid.cell())
+    grid.measure(cells)
+    within = neighbours._cells_within(grid)(F.col("radius"), F.array("cell"), F.col("x"), F.col("y"))
+    far, near = cells.withColumn("radius", F.lit(1e9)), cells.withColumn("radius", F.lit(1e-9))
+    rows = {r.cell: r.left for r in far.withColumn("left", within).collect()}
+    occupied = np.sort(grid.ids)
+    full = -(-len(occupied) // neighbours.PACK)
+    for cell, left in rows.items():
+        assert len(left.packs) + len(left.cells) <= full + neighbours._MANY
+        masked = [p * neighbours.PACK + b for p, m in zip(left.packs, left.masks) for b in range(64) if m >> b & 1]
+        assert sorted([*left.cells, *occupied[masked].tolist()]) == [c for c in occupied.tolist() if c != cell]
+    assert all(not r.left.packs and not r.left.cells for r in near.withColumn("left", within).collect())
+    places = {r.cell: r.place for r in cells.select("cell", grid.place(F.col("cell")).alias("place")).collect()}
+    assert all(occupied[place] == cell for cell, place in places.items())
+
+
 def test_constant_feature_and_small_catalogue(spark):
     values = [(1, 5, 0), (2, 5, 1), (3, 5, 4)]
     names = ["a", "b", "B"]
