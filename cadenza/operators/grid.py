@@ -54,9 +54,11 @@ class Grid:
         return F.coalesce(F.get(table, cell), F.lit(1))
 
     def place(self, cell: Column) -> Column:
-        """Place of a cell among the occupied ones, from 0."""
+        """Place of a cell among the occupied ones, from 0; rows that miss a value are in no cell."""
         places = np.zeros(int(self.ids.max(initial=0)) + 1, dtype=np.int64)
-        places[np.sort(self.ids)] = np.arange(len(self.ids))
+        for at, occupied in enumerate(np.sort(self.ids).tolist()):
+            if occupied >= 0:
+                places[occupied] = at
         return F.get(F.split(F.lit(",".join(map(str, places))), ",").cast("array<int>"), cell)
 
     def packs(self) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:

@@ -86,6 +86,15 @@ def test_unrelated_vectors_reach_many_cells(spark, metric):
     assert answers(hits) == brute(values, names, 60, metric, True, False)
 
 
+def test_a_track_without_a_value_is_no_answer(spark):
+    values = np.random.default_rng(9).normal(size=(60, 3))
+    tracks = catalogue(spark, values, [f"s{i}" for i in range(60)])
+    gaps = tracks.withColumn("f1", F.when(F.col("id") % 7 != 3, F.col("f1")))
+    hits = nearest(requests_for(tracks.where("id < 5 AND id <> 3")), gaps, FEATURES, 6, rows_per_cell=3)
+    found = answers(hits)
+    assert len(found) == 4 and all(len(ids) == 6 and all(i % 7 != 3 for i in ids) for ids in found.values())
+
+
 def test_cells_of_one_pack_travel_as_one_row(spark):
     points = spark.createDataFrame([(float(i), float(-i)) for i in range(200)], "x double, y double")
     grid = fit_grid(points, ["x", "y"], rows_per_cell=1, max_cells=256)
