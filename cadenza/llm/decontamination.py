@@ -1,7 +1,7 @@
 """Benchmark passages inside documents, found by latent semantic retrieval and confirmed word by word.
 
-Items are cut into pieces of at most PIECE_WORDS words. Over the words of the items, TF-IDF rows of the pieces and of a
-sample of the corpus's passages go through a randomised SVD: Spark sums the products of its passes, the driver
+Items are cut into pieces of at most PIECE_WORDS words. Over the words of the items, TF-IDF rows of the pieces and of all
+passages of the corpus go through a randomised SVD: Spark sums the products of its passes, the driver
 orthogonalises them. Every document is then covered by overlapping windows. Two bounds, both differences of running
 sums, drop windows that cannot reach the cosine asked for: their words outside the items, and the most that
 each word can add to the cosine with any piece. The others are folded into the latent space and compared with
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import Hasher, Texts, drop_keys, mix, pieces, row_key, row_name, text_or_empty, unused
+from cadenza.llm.common import Hasher, Texts, drop_keys, pieces, row_name, text_or_empty, unused
 from cadenza.session import materialize
 
 PIECE_WORDS = 64
@@ -29,8 +29,8 @@ COVERS = ((16, 4), (32, 8), (64, 16))
 #: Words share 2**18 document-frequency cells by their hash.
 CELLS = 1 << 18
 SLICE = 1 << 12
-#: The SVD is fitted on all pieces and about so many passages; dimensions beyond the pieces'; pieces of one index.
-SAMPLE_PASSAGES, MORE_DIMENSIONS, INDEX_PIECES = 20_000, 32, 256
+#: Dimensions beyond the pieces'; pieces of one index; its most frequent words, multiplied as dense columns.
+MORE_DIMENSIONS, INDEX_PIECES, DENSE_WORDS = 32, 256, 1024
 #: Least cosine of a candidate; share of a piece that must be found, alone and with its answer; share of the answer.
 COSINE, FOUND, FOUND_WITH_ANSWER, ANSWER = 0.5, 0.75, 0.5, 0.8
 
@@ -162,14 +162,19 @@ class Index:
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
 
-def rows_of(index: Index, hashes: np.ndarray, places: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse TF-IDF rows of windows over the vocabulary: row, word, weight sqrt(tf) * idf."""
+def counts_of(index: Index, places: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each word of the vocabulary is in each window: row, word, count."""
     length = end - first
     row = np.repeat(np.arange(len(first)), length)
     token = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first, length)
     known = places[token] >= 0
     both, tf = np.unique(row[known] * len(index.vocabulary) + places[token[known]], return_counts=True)
-    row, word = both // len(index.vocabulary), both % len(index.vocabulary)
+    return both // len(index.vocabulary), both % len(index.vocabulary), tf
+
+
+def rows_of(index: Index, places: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse TF-IDF rows of windows over the vocabulary: row, word, weight sqrt(tf) * idf."""
+    row, word, tf = counts_of(index, places, first, end)
     return row, word, np.sqrt(tf) * index.idf[cells(index.vocabulary[word])]
 
 
@@ -184,60 +189,80 @@ def fold(index: Index, row: np.ndarray, word: np.ndarray, weight: np.ndarray, n:
     return out
 
 
-def _sample(documents: DataFrame, index: Index, n_passages: int) -> DataFrame:
-    """Unit TF-IDF rows of about SAMPLE_PASSAGES passages, drawn by a hash of document and place."""
-    bar = np.uint64(min(1.0, SAMPLE_PASSAGES / max(n_passages, 1)) * (2**64 - 1025))
+def _passages(documents: DataFrame, index: Index) -> DataFrame:
+    """Words of the vocabulary in every passage of the corpus, a row of packed arrays for each stretch of text.
+
+    ``ends`` says where a passage's words end, ``energy`` is the squared length of its whole TF-IDF row.
+    """
+    narrow = np.min_scalar_type(max(len(index.vocabulary) - 1, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
-        for batch, texts in pieces(batches):
+        for _, texts in pieces(batches):
             hashes, at = hashed_words(texts, hasher)
-            first, end, owner = spans(at, PIECE_WORDS, PIECE_WORDS)
-            key = batch.column("key").to_numpy().view(np.uint64)[owner]
-            keep = mix(key + (first - at[owner]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) <= bar
-            first, end = first[keep], end[keep]
-            row, word, weight = rows_of(index, hashes, index.places(hashes), first, end)
+            first, end, _ = spans(at, PIECE_WORDS, PIECE_WORDS)
+            row, word, tf = counts_of(index, index.places(hashes), first, end)
             energy = np.concatenate([[0.0], np.cumsum(index.idf[cells(hashes)].astype(np.float64) ** 2)])
-            weight = weight / np.sqrt(np.maximum(energy[end] - energy[first], 1e-9))[row]
-            cut = np.searchsorted(row, np.arange(len(first) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(cut), pa.array(word)), pa.ListArray.from_arrays(pa.array(cut), pa.array(weight.astype(np.float32)))],
-                ["word", "weight"],
-            )
+            held, n = np.unique(row, return_counts=True)
+            columns = word.astype(narrow), tf.astype(np.uint8), np.cumsum(n).astype(np.int32), (energy[end] - energy[first])[held].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["word", "tf", "ends", "energy"])
 
-    rows = documents.select(F.xxhash64("doc_id", text_or_empty()).alias("key"), folded().alias("text"))
-    return rows.mapInArrow(run, "word array<long>, weight array<float>").where(F.size("word") > 0).repartition(12)
+    rows = documents.select(folded().alias("text"))
+    return rows.mapInArrow(run, "word binary, tf binary, ends binary, energy binary").where(F.octet_length("word") > 0)
 
 
-def _times(rows: DataFrame, factor: np.ndarray) -> np.ndarray:
-    """A'(A X) for the rows A of the table."""
+def _times(rows: DataFrame, factor: np.ndarray, index: Index, dense: np.ndarray, inner: bool = False) -> np.ndarray:
+    """A'(A X) for the unit TF-IDF rows A of the passages, or (A X)'(A X) if ``inner``.
+
+    The words ``dense`` are multiplied as dense columns, the others by gathering.
+    """
     n, width = factor.shape
+    narrow = np.min_scalar_type(max(n - 1, 0))
+    idf = index.idf[cells(index.vocabulary)]
+    column = np.full(n, -1)
+    column[dense] = np.arange(len(dense))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, width), np.float32)
+        total, of_dense = np.zeros((width if inner else n, width)), factor[dense]
         some = False
         for batch in batches:
-            cut = batch.column("word").offsets.to_numpy()
-            word, weight = batch.column("word").flatten().to_numpy(), batch.column("weight").flatten().to_numpy()
-            row = np.repeat(np.arange(len(batch)), np.diff(cut))
-            for a in range(0, len(batch), 2048):
-                part = (row >= a) & (row < a + 2048)
-                if not part.any():
-                    continue
+            for packed in zip(*(batch.column(c) for c in ("word", "tf", "ends", "energy"))):
                 some = True
-                dense = np.zeros((2048, n), np.float32)
-                dense[row[part] - a, word[part]] = weight[part]
-                total += dense.T @ (dense @ factor)
-        step = max(1, -(-n // 16))
-        parts = [total[i : i + step].tobytes() for i in range(0, n, step)] if some else []
+                word, tf, ends, energy = (np.frombuffer(p.as_buffer(), t) for p, t in zip(packed, (narrow, np.uint8, np.int32, np.float32)))
+                cut = np.concatenate([[0], ends])
+                row = np.repeat(np.arange(len(ends)), np.diff(cut))
+                weight = (np.sqrt(tf, dtype=np.float32) * idf[word] / np.sqrt(np.maximum(energy, 1e-9))[row]).astype(np.float32)
+                for a in range(0, len(ends), 512):
+                    b = min(a + 512, len(ends))
+                    part = slice(cut[a], cut[b])
+                    in_row, place, w = row[part] - a, column[word[part]], weight[part]
+                    often = place >= 0
+                    grid = np.zeros((b - a, len(dense)), np.float32)
+                    grid[in_row[often], place[often]] = w[often]
+                    product = grid @ of_dense
+                    r, at, w = in_row[~often], word[part][~often].astype(np.int64), w[~often, None]
+                    if len(r):
+                        new = np.flatnonzero(np.diff(r, prepend=-1))
+                        product[r[new]] += np.add.reduceat(factor[at] * w, new)
+                    if inner:
+                        total += product.T @ product
+                        continue
+                    total[dense] += grid.T @ product
+                    if len(r):
+                        order = np.argsort(at, kind="stable")
+                        at = at[order]
+                        new = np.flatnonzero(np.diff(at, prepend=-1))
+                        total[at[new]] += np.add.reduceat(product[r[order]] * w[order], new)
+        step = max(1, -(-len(total) // 16))
+        parts = [total[i : i + step].astype(np.float32).tobytes() for i in range(0, len(total), step)] if some else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
 
     sums = _summed(rows.mapInArrow(run, "slice int, part binary"), np.float32)
-    return np.concatenate([np.frombuffer(b, np.float32) for b in sums["part"]]).reshape(n, width) if len(sums) else np.zeros((n, width), np.float32)
+    return np.concatenate([np.frombuffer(b, np.float32) for b in sums["part"]]).reshape(-1, width) if len(sums) else np.zeros((width if inner else n, width), np.float32)
 
 
 def build(documents: DataFrame, some: list[Piece], n_passages: int, seen: np.ndarray) -> Index:
-    """Fits the latent space: pieces weigh as much as the whole sample, so that it holds their directions."""
+    """Fits the latent space on every passage: pieces weigh as much as the whole corpus, so that it holds their directions."""
     idf = np.log((1.0 + n_passages) / (1.0 + np.minimum(seen, n_passages))).astype(np.float32) + np.float32(0.05)
     vocabulary = np.unique(np.concatenate([p.words for p in some]))
     size = len(vocabulary)
@@ -246,21 +271,20 @@ def build(documents: DataFrame, some: list[Piece], n_passages: int, seen: np.nda
     hashes = np.concatenate([p.words for p in some])
     end = np.cumsum([len(p.words) for p in some])
     first = end - [len(p.words) for p in some]
-    row, word, weight = rows_of(index, hashes, index.places(hashes), first, end)
+    row, word, weight = rows_of(index, index.places(hashes), first, end)
     norm = np.sqrt(np.bincount(row, weight**2, len(some)))
     weight = (weight / np.maximum(norm[row], 1e-9)).astype(np.float32)
     own = np.zeros((len(some), size), np.float32)
     own[row, word] = weight
-    scale = np.float32(np.sqrt(min(SAMPLE_PASSAGES, max(n_passages, 1))))
-    sample = materialize(_sample(documents, index, n_passages), "lsa-sample")
-
-    def times(x: np.ndarray) -> np.ndarray:
-        return _times(sample, x) + scale**2 * (own.T @ (own @ x))
+    passages = materialize(_passages(documents, index), "lsa-passages")
+    dense = np.sort(np.argsort(-seen[cells(vocabulary)], kind="stable")[:DENSE_WORDS])
 
+    weigh = np.float32(max(n_passages, 1))
     draw = np.random.default_rng(11).normal(size=(size, min(rank + 8, size))).astype(np.float32)
-    q, _ = np.linalg.qr(times(draw).astype(np.float64))
-    product = times(q.astype(np.float32)).astype(np.float64)
-    value, vector = np.linalg.eigh((q.T @ product + product.T @ q) / 2)
+    q, _ = np.linalg.qr((_times(passages, draw, index, dense) + weigh * (own.T @ (own @ draw))).astype(np.float64))
+    side = own @ q.astype(np.float32)
+    product = (_times(passages, q.astype(np.float32), index, dense, inner=True) + weigh * (side.T @ side)).astype(np.float64)
+    value, vector = np.linalg.eigh((product + product.T) / 2)
     index.basis = np.ascontiguousarray((q @ vector[:, np.argsort(-value)[:rank]]).astype(np.float32))
     index.coordinates = fold(index, row, word, weight, len(some))
     best = np.maximum((index.basis @ index.coordinates.T).max(axis=1), 0)
@@ -301,7 +325,7 @@ class Finder:
             open_ = np.flatnonzero((known[end] - known[first] >= COSINE**2 * norm) & reachable)
             for a in range(0, len(open_), 4096):
                 rows = open_[a : a + 4096]
-                row, word, weight = rows_of(index, hashes, places, first[rows], end[rows])
+                row, word, weight = rows_of(index, places, first[rows], end[rows])
                 z = fold(index, row, word, weight.astype(np.float32), len(rows))
                 cosine = z @ index.coordinates.T / np.sqrt(np.maximum(norm[rows], 1e-9))[:, None]
                 for i, j in zip(*np.nonzero(cosine >= COSINE)):

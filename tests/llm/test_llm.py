@@ -11,9 +11,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 
 from cadenza.llm import balance, decontamination, exact_dedup, hilbert, jaccard_trees, language_cnn, pii, suffix_runs, token_counts, toxicity
-from cadenza.llm.common import Texts
+from cadenza.llm.common import Hasher, Texts
 from cadenza.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, size long, _key string"
@@ -340,6 +341,39 @@ def test_benchmark_is_held_block_by_block(spark, docs, monkeypatch):
     assert out.columns == docs.columns and sorted(map(str, out.collect())) == kept and len(kept) < len(ROWS)
 
 
+def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    draw, width = np.random.default_rng(5), decontamination.PIECE_WORDS
+    words = np.array([f"w{i}" for i in range(90)])
+    texts = [" ".join(words[np.minimum(draw.geometric(0.05, int(draw.integers(40, 60)) * width + 9), 90) - 1]) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    some = decontamination.cut_items([Row(item_id=1, text=" ".join(words[:40])), Row(item_id=2, text=" ".join(words[30:60]))])
+    asked, held = [], decontamination._times
+
+    def times(rows, x, *more, **named):
+        asked.append((x, held(rows, x, *more, **named)))
+        return asked[-1][1]
+
+    monkeypatch.setattr(decontamination, "_times", times)
+    monkeypatch.setattr(decontamination, "DENSE_WORDS", 7, raising=False)
+    n_passages, seen = decontamination._passage_counts(docs)
+    index = decontamination.build(docs, some, n_passages, seen)
+    counts = np.zeros((n_passages, len(words)))
+    passages = [t.split()[i : i + width] for t in texts for i in range(0, len(t.split()), width)]
+    assert len(passages) == n_passages > 20_000
+    for i, passage in enumerate(passages):
+        for w in passage:
+            counts[i, int(w[1:])] += 1
+    idf = np.log((1 + n_passages) / (1 + (counts > 0).sum(axis=0))) + 0.05
+    rows = np.sqrt(counts) * idf / np.sqrt((counts * idf**2).sum(axis=1))[:, None]
+    of = {int(decontamination.hashed_words(Texts.of(pa.array([w])), Hasher(lower=True))[0][0]): i for i, w in enumerate(words)}
+    rows = rows[:, [of[int(h)] for h in index.vocabulary]]
+    assert len(asked) == 2
+    for x, product in asked:
+        side = rows @ x
+        want = (rows if len(product) == rows.shape[1] else side).T @ side
+        assert np.abs(product - want).max() < 1e-4 * np.abs(want).max()
+
+
 def test_longest_common_subsequence():
     for _ in range(50):
         a, b = np.random.default_rng().integers(0, 5, 12), np.random.default_rng().integers(0, 5, 17)
