@@ -5,7 +5,7 @@ import pytest
 from cadenza.operators import listener
 from cadenza.plans import reports
 from cadenza.schema import FEATURES_11, TRACKS
-from cadenza.sources import files, payloads
+from cadenza.sources import files, payloads, star_tables
 
 
 def test_csv_columns_by_name_and_type(spark, tmp_path):
@@ -83,3 +83,15 @@ def test_id_batches(spark):
     batches = payloads.id_batches(spark.range(85), "id").orderBy("batch_no").collect()
     assert [(b.batch_no, b.n_ids) for b in batches] == [(0, 40), (1, 40), (2, 5)]
     assert batches[2].ids == "80,81,82,83,84"
+
+
+def test_parts_are_not_collected_on_the_driver(spark, tmp_path):
+    parts = [(i, f"name {i}", "B", "T", i % 7, 1.0) for i in (1, 2, 2, 3)] + [(None, "none", "B", "T", 1, 1.0)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    vectors = [(i, [i + k / 10 for k in range(20)], i) for i in (1, 2, 4)] + [(3, None, 3), (None, [0.0] * 20, 5)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = star_tables.tracks(spark, str(tmp_path))
+    rows = sorted(found.select("id", "name", "danceability", "energy", "key").collect(), key=str)
+    assert [(r.id, r.key, r.danceability is None) for r in rows] == [(1, 1, False), (2, 2, False), (2, 2, False), (3, 3, True)]
+    narrow = found.select("id", "danceability")
+    assert "Broadcast" not in narrow._jdf.queryExecution().executedPlan().toString()
